@@ -52,6 +52,16 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Up to this many narrow rows are broadcast; beyond it a join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it is counted to have at most `most` rows (a key and a
+    value or two each), else df, for Spark to join by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def flat_text(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after another, and where each begins (one more
     entry for the end). Null counts as empty."""
