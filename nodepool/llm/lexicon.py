@@ -2,11 +2,12 @@
 
 1. Count, over all documents, how many hold each word, and how many of those are
    labelled toxic or clean. Nodes of the graph are the words of at least MIN_SHARE of
-   the documents that labelled clean documents hold at most CLEAN_RATIO as often as
-   their share of the documents says (words that may be polar), and the words whose
+   the documents that may be polar, and the words whose
    share lies within NEUTRAL_SHARE (the neutral pole; still commoner words stand near
    everything alike). The shares bound the number of nodes whatever the size of the
-   corpus, as a document holds so many words.
+   corpus, as a document holds so many words. A word may be polar if it is a seed, or
+   if the labelled clean documents, which should hold it LEAST_EXPECTED times or more
+   by its share of all documents, hold it at most CLEAN_RATIO as often.
 2. Count, over all documents, the pairs of nodes that stand within WINDOW words.
 3. Edges are the positive pointwise mutual information of the pairs. Seeds are words
    that the labels tie to toxic documents beyond doubt (a likelihood-ratio test at
@@ -37,12 +38,13 @@ from . import common as C
 MIN_SHARE = 2e-4
 NEUTRAL_SHARE = (0.05, 0.12)
 CLEAN_RATIO = 0.2
+LEAST_EXPECTED = 14.0
 WINDOW = 100
 SEED_G = 24.0
 SEED_PRECISION = 0.9
 RESTART = 0.3
 STEPS = 30
-POLAR = 0.9
+POLAR = 0.35
 MAX_FALSE = 0.001
 LEAST_SCORE = 0.3
 
@@ -100,17 +102,22 @@ def nodes(counts: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
         return [], np.zeros(0, bool), np.zeros(0, bool)
     n_docs, n_toxic, n_clean = total.n, total.toxic, total.clean
     share = F.col("n") / F.lit(float(n_docs))
-    clean_share = F.col("clean") / F.lit(float(max(n_clean, 1)))
-    polar = (share >= MIN_SHARE) & (F.col("n") >= 3) & (clean_share <= CLEAN_RATIO * share) & (share < NEUTRAL_SHARE[0])
+    expected = F.col("n") * F.lit(n_clean / max(n_docs, 1))
+    shunned = (expected >= LEAST_EXPECTED) & (F.col("clean") <= CLEAN_RATIO * expected)
+    may_seed = (F.col("toxic") > 0) & (F.col("toxic") >= SEED_PRECISION * (F.col("toxic") + F.col("clean")))
+    polar = (share >= MIN_SHARE) & (share < NEUTRAL_SHARE[0]) & (shunned | may_seed)
     rows = counts.filter("word <> ''").filter(polar | share.between(*NEUTRAL_SHARE)).orderBy("word").collect()
-    words = [r.word for r in rows]
-    positive, negative = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
-    for i, r in enumerate(rows):
-        if r.n / n_docs >= NEUTRAL_SHARE[0]:
-            negative[i] = True
-        elif n_toxic and n_clean and r.toxic >= SEED_PRECISION * (r.toxic + r.clean):
-            positive[i] = likelihood_ratio(r.toxic, r.clean, n_toxic, n_clean) >= SEED_G
-    return words, positive, negative
+    words, positive, negative = [], [], []
+    for r in rows:
+        neutral = r.n / n_docs >= NEUTRAL_SHARE[0]
+        lifted = not neutral and n_clean > 0 and r.toxic >= SEED_PRECISION * (r.toxic + r.clean)
+        seed = lifted and likelihood_ratio(r.toxic, r.clean, n_toxic, n_clean) >= SEED_G
+        mean = r.n * n_clean / n_docs
+        if neutral or seed or (mean >= LEAST_EXPECTED and r.clean <= CLEAN_RATIO * mean):
+            words.append(r.word)
+            positive.append(seed)
+            negative.append(neutral)
+    return words, np.array(positive, bool), np.array(negative, bool)
 
 
 def pair_counts(docs: DataFrame, words: list[str]) -> DataFrame:
@@ -190,7 +197,8 @@ def induce(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
         return {}
     table = pair_counts(docs, words).toArrow()
     i, j, n = (table.column(c).to_numpy() for c in ("i", "j", "n"))
-    return dict(zip(words, walk(i, j, n, positive, negative).tolist()))
+    weights = np.minimum(walk(i, j, n, positive, negative), np.where(negative, 0.0, 1.0))
+    return dict(zip(words, weights.tolist()))
 
 
 def with_score(df: DataFrame, lexicon: dict[str, float], text: str = "text", name: str = "score") -> DataFrame:
