@@ -45,7 +45,7 @@ SEED_PRECISION = 0.9
 RESTART = 0.3
 STEPS = 30
 POLAR = 0.35
-MAX_FALSE = 0.001
+MAX_FALSE = 0.003
 LEAST_SCORE = 0.3
 
 _word = re.compile(r"\w+").findall
