@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds decoded at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -117,9 +117,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD = np.where(_WORD, np.arange(256) + 1, 0).astype(np.uint64)
 _FOLD[65:91] += 32
-_P64 = np.uint64(0x9E3779B97F4A7C15)
+_P64 = 0x9E3779B97F4A7C15
+_INVERSE = pow(_P64, -1, 1 << 64)
 
 
 def words(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,40 +128,35 @@ def words(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     letters, digits and non-ASCII bytes; ASCII case is folded. Gives each word's 64-bit
     hash, the text it stands in, and where each text's words begin."""
     n_texts = len(at) - 1
-    if not len(flat):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n_texts + 1, np.int64)
     is_word = _WORD[flat]
     start = is_word.copy()
     start[1:] &= ~is_word[:-1]
-    heads = at[:-1][(at[:-1] < at[1:])]
+    heads = at[:-1][at[:-1] < at[1:]]
     start[heads] = is_word[heads]
     begin = np.flatnonzero(start)
-    # prefix sums of byte * power: a word's hash is a difference, brought to a common power
-    idx = np.flatnonzero(is_word)
-    if not len(idx):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n_texts + 1, np.int64)
-    first = np.searchsorted(idx, begin)
-    lens = np.diff(np.append(first, len(idx)))
-    within = np.arange(len(idx)) - np.repeat(first, lens)
-    power = _powers(int(lens.max()))
-    part = (_FOLD[flat[idx]].astype(np.uint64) + np.uint64(1)) * power[within]
-    hashes = mix64(np.add.reduceat(part, first) + lens.astype(np.uint64))
-    row = np.searchsorted(at, begin, "right") - 1
-    return hashes, row, np.searchsorted(begin, at)
-
-
-_power_cache = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _power_cache
-    if len(_power_cache) < n:
+    starts = np.searchsorted(begin, at)
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), starts
+    # each byte times the power of its place; a word's sum is brought back to its start
+    up, down = _powers(len(flat))
+    part = _FOLD[flat]
+    part *= up[: len(flat)]
+    hashes = np.add.reduceat(part, begin)
+    hashes *= down[begin]
+    return mix64(hashes), np.repeat(np.arange(n_texts), np.diff(starts)), starts
+
+
+_power_cache: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_power_cache[0]) < n:
         size = 1 << int(n - 1).bit_length()
-        p = np.full(size, _P64, np.uint64)
-        p[0] = 1
-        with np.errstate(over="ignore"):
-            _power_cache = np.multiply.accumulate(p)
-    return _power_cache[:n]
+        for k, base in enumerate((_P64, _INVERSE)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _power_cache[k] = np.multiply.accumulate(p)
+    return _power_cache
 
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
