@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .bpe import op4_byte_bpe
 from .lexicon import op7_toxicity_lexicon
+from .mil import op6_quality_mil
 from .oddsketch import op8_minhash_odd_sketch
 
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_quality_mil": op6_quality_mil,
     "op7_toxicity_lexicon": op7_toxicity_lexicon,
     "op8_minhash_odd_sketch": op8_minhash_odd_sketch,
 }
