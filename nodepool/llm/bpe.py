@@ -270,6 +270,19 @@ class Encoder:
         return gather(self.ids, self.at[which], lens), np.diff(total[np.concatenate([[0], np.cumsum(n_words)])])
 
 
+def same_bytes(decoded: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the decoded texts are the texts of flat."""
+    same_size = sizes == np.diff(at)
+    good = same_size.copy()
+    if same_size.all():
+        good[np.searchsorted(at, np.flatnonzero(decoded != flat), "right") - 1] = False
+    else:
+        d = np.concatenate([[0], np.cumsum(sizes)])
+        for i in np.flatnonzero(same_size):
+            good[i] = np.array_equal(decoded[d[i] : d[i + 1]], flat[at[i] : at[i + 1]])
+    return good
+
+
 _ready: dict[int, Encoder] = {}
 
 
@@ -280,9 +293,10 @@ def _encoder(raw: bytes, pattern: str) -> Encoder:
     return _ready[key]
 
 
-def encode(df: DataFrame, text: str = "text", vocab_path: str = DEFAULT_VOCAB, pattern: str = PATTERN) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", vocab_path: str = DEFAULT_VOCAB, pattern: str = PATTERN, check: bool = True) -> DataFrame:
     """df with token_ids, n_tokens, n_bytes (of the UTF-8 text) and round_trip (whether
-    decoding the ids gives the text's bytes again). Columns of those names are replaced.
+    decoding the ids gives the text's bytes again; null without check). Columns of those
+    names are replaced.
     One narrow pass; the vocabulary file is read on the driver and broadcast (its size
     is that of the file, whatever the data)."""
     with open(vocab_path, "rb") as f:
@@ -298,21 +312,16 @@ def encode(df: DataFrame, text: str = "text", vocab_path: str = DEFAULT_VOCAB, p
                 texts = batch.column(batch.schema.get_field_index(text))
                 ids, counts = encoder.encode(texts.to_pylist())
                 flat, at = C.flat_text(texts)
-                decoded, sizes = encoder.vocabulary.decode(ids, counts)
-                same_size = sizes == np.diff(at)
-                good = same_size.copy()
-                if same_size.all():
-                    good[np.searchsorted(at, np.flatnonzero(decoded != flat), "right") - 1] = False
+                if check:
+                    good = pa.array(same_bytes(*encoder.vocabulary.decode(ids, counts), flat, at))
                 else:
-                    d = np.concatenate([[0], np.cumsum(sizes)])
-                    for i in np.flatnonzero(same_size):
-                        good[i] = np.array_equal(decoded[d[i] : d[i + 1]], flat[at[i] : at[i + 1]])
+                    good = pa.nulls(len(texts), pa.bool_())
                 lists = C.list_array(ids, counts, pa.int32())
                 if texts.null_count:
                     lists = pa.array(lists.to_pylist(), pa.list_(pa.int32()), mask=np.asarray(texts.is_null()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index(c)) for c in keep]
-                    + [lists, pa.array(counts, pa.int32()), pa.array(np.diff(at), pa.int64()), pa.array(good)],
+                    + [lists, pa.array(counts, pa.int32()), pa.array(np.diff(at), pa.int64()), good],
                     names=keep + made,
                 )
 

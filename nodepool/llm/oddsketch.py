@@ -9,7 +9,7 @@ J = 1 + n / (4 K) * ln(1 - 2 p / n), which is most precise at high similarities.
 
 Equal sketches (p = 0) are one document for all that follows. In each band's bucket the
 least document is the leader and the others are compared with it alone; those that it
-doesn't match go on to another round with another leader. After LEADER_ROUNDS all pairs
+doesn't match go on to another round with another leader. After some rounds all pairs
 that are still together in a bucket are compared, so no candidate goes unseen. A bucket
 of n copies thus costs n comparisons, not n squared. Groups are the connected components
 of the verified pairs; the least doc_id of a group stays.
@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
+from .buckets import matches
 from .graph import components
 
 SAMPLES = 128
 BANDS = 32
 BITS = 1024
 THRESHOLD = 0.6
-LEADER_ROUNDS = 3
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _A = (_rng.integers(0, 2**32, SAMPLES, dtype=np.uint64) | 1).astype(np.uint32)
@@ -146,25 +146,7 @@ def verified_pairs(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         right = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
         return pairs.join(left, "a").join(right, "b").filter(differing_bits("x", "y") <= limit).select("a", "b")
 
-    rows = signed.select("doc_id", F.explode("bands").alias("band"))
-    found: list[DataFrame] = []
-    for _ in range(LEADER_ROUNDS):
-        led = rows.withColumn("a", F.min("doc_id").over(Window.partitionBy("band"))).filter("doc_id <> a")
-        led, _path = C.written(led, "buckets")
-        good, _path = C.written(check(led.select("a", F.col("doc_id").alias("b")).distinct()), "pairs")
-        found.append(good)
-        rows = led.join(good.withColumnRenamed("b", "doc_id"), ["a", "doc_id"], "left_anti").select("doc_id", "band")
-        rows, _path = C.written(rows, "buckets")
-        if rows.isEmpty():
-            break
-    else:
-        other = rows.select(F.col("doc_id").alias("b"), "band")
-        pairs = rows.select(F.col("doc_id").alias("a"), "band").join(other, "band").filter("a < b").select("a", "b").distinct()
-        found.append(check(pairs))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return matches(signed.select("doc_id", F.explode("bands").alias("band")), check)
 
 
 def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
