@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import documents, edges, lifecycle, sessions
+
+_PARTS = (documents, lifecycle, edges, sessions)
+QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
