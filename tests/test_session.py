@@ -1,0 +1,78 @@
+import random
+
+from pyspark.sql import functions as F
+
+from nodepool.operators import session as C
+from nodepool.operators.engines import KeywordTagger
+from nodepool.streaming import streams
+
+from .test_bm25 import brute
+
+TOOLS = [
+    {"name": "agenda", "description": "Meetings scheduled on the calendar.", "call": {"query": "string"}, "returns": {"events": "list"}},
+    {"name": "sky", "description": "Weather forecast of a city.", "call": {"city": "string", "day": "string"}, "returns": {"summary": "string"}},
+]
+
+
+def test_recall_against_brute_force(spark):
+    rng = random.Random(5)
+    words = ["lamp", "river", "stone", "cloud", "tiger", "violin"]
+    rows = [(c, t, " ".join(rng.choice(words) for _ in range(rng.randint(0, 4)))) for c in range(3) for t in range(12)]
+    got = C.recall(spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string"), 4, KeywordTagger(), limit=2)
+    want = set()
+    for c, t, text in rows:
+        past = {str(u): list(dict.fromkeys(x.split())) for d, u, x in rows if d == c and u <= t - 4}
+        want |= {(c, t, n + 1, int(k), round(s, 9)) for n, (k, s, _) in enumerate(brute(past, list(dict.fromkeys(text.split())))[:2])}
+    assert {(r.conv_id, r.turn, r["rank"], r.hit_turn, round(r.score, 9)) for r in got.collect()} == want
+
+
+def test_chat_session(spark):
+    clock = iter(range(1, 10_000))
+    s = C.ChatSession(spark, window=2, now=lambda: next(clock), tools=TOOLS)
+    s.send("which licence covers the widget kit", scripted="The permissive one, for its patent clause.")
+    s.send("rename the staging box", scripted="Done.")
+    s.queue_nudge("stay brief")
+    s.queue_nudge("be kind")
+    third = s.send("is a meeting booked today")
+    assert third["tools"] == ["tool-agenda"] and third["nudge"] == "be kind" and third["reply"].startswith("(following the nudge: be kind) calling agenda(query)")
+    assert s.stats() == {"active": 2, "recall": 1, "tools": 2, "nudge": 0, "total": 5}
+    last = s.send("remind me which licence the widget kit has")
+    assert last["recalled"] == ["turn-0"] and last["nudge"] is None and 'from earlier: "The permissive one' in last["reply"]
+    order = [last["prompt"].index(x) for x in ("[system]", "[conversation]", "[recalled memories]", "[user]")]
+    assert order == sorted(order) and "[nudge]" not in last["prompt"]
+    assert [(r.id, r.direction) for r in s.memory.neighbors("turn-3").collect()] == [("turn-0", "to")]
+
+
+def test_window_and_intent(spark):
+    t = spark.createDataFrame([(1, i, "user", x) for i, x in enumerate(["The BILL", "where is it", "rain", "hello", None])], "conv_id bigint, turn bigint, role string, text string")
+    assert sorted((r.turn, r.in_window) for r in C.windows(t, 2).collect()) == [(0, False), (1, False), (2, False), (3, True), (4, True)]
+    assert [r.i is not None for r in t.select(C.intent(F.col("text")).alias("i")).collect()] == [True, True, True, False, False]
+    assert C.conversation(t, 3).first().lines == "user: rain\nuser: hello"
+
+
+def test_streams(spark, tmp_path):
+    rows = [("p", "a", "blue river"), ("p", "b", "red stone")]
+    schema = "pool string, id string, content_text string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    path, mark = str(tmp_path / "index"), str(tmp_path / "mark")
+    streams.index_stream(stream(), path, mark, KeywordTagger()).awaitTermination()
+    spark.createDataFrame([("p", "a", "green river stone")], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    streams.index_stream(stream(), path, mark, KeywordTagger()).awaitTermination()
+    docs = {r.id: r.terms for r in streams.read_index(spark, path).docs.collect()}
+    assert docs == {"a": ["green", "river", "stone"], "b": ["red", "stone"]}
+
+
+def test_stream_of_spilled_turns(spark, tmp_path):
+    rows = [(c, t, f"{c}/{t}") for c in (1, 2) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string").coalesce(1).write.json(str(tmp_path / "in"))
+    out = []
+    stream = spark.readStream.schema("conv_id bigint, turn bigint, text string").json(str(tmp_path / "in"))
+    streams.each_batch(streams.spilled(stream, 3), lambda df, _: out.extend((r.conv_id, r.turn, r.text) for r in df.collect()), str(tmp_path / "mark")).awaitTermination()
+    assert sorted(out) == [(1, 0, "1/0"), (2, 0, "2/0")]
+
+
+def test_stream_of_lifetimes_is_as_the_batch(spark):
+    df = spark.sql("SELECT 'a' AS owner, 'b' AS other, timestamp_seconds(s) AS ts FROM VALUES (0), (10), (21) AS v(s)")
+    got = streams.edge_lifetimes(df, "10 seconds", "1 minute").selectExpr("unix_seconds(began) AS b", "unix_seconds(ended) AS e", "n").collect()
+    assert sorted((r.b, r.e, r.n) for r in got) == [(0, 20, 2), (21, 31, 1)]
