@@ -8,9 +8,9 @@
    values. Sixteen filters of six kinds compare rectangles as log((1 + a) / (1 + b)), are
    cut at three thresholds, and give two bits each (Gray-coded): a 32-bit integer for each
    position of a window of WIDTH frames.
-3. Two recordings align at the offset that most pairs of equal integers agree on. At
-   that offset the share of differing bits over the overlap must be at most MAX_ERROR, and
-   the overlap at least MIN_OVERLAP positions.
+3. Two recordings align at the offset that most pairs of equal integers agree on. That must
+   be MIN_VOTES pairs at least; the share of differing bits over the overlap must be at
+   most MAX_ERROR, and the overlap at least MIN_OVERLAP positions.
 
 Every recording is a query. Candidates share a run of two successive different integers,
 silent positions left aside; in a bucket all are compared with the least, those that align
@@ -42,6 +42,7 @@ SILENCE = 1e-3
 WIDTH = 16
 MAX_ERROR = 0.25
 MIN_OVERLAP = 16
+MIN_VOTES = 4
 RATE = 11025
 
 #: kind, first pitch class, pitch classes, frames, thresholds
@@ -189,6 +190,8 @@ def align(x: np.ndarray, y: np.ndarray) -> tuple[int, float, int]:
     i = np.repeat(np.arange(len(x)), n)
     at = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
     votes = np.bincount(i - order[at] + len(y) - 1)
+    if votes.max() < MIN_VOTES:
+        return 0, 1.0, 0
     offset = int(votes.argmax()) - (len(y) - 1)
     a, b = max(offset, 0), max(-offset, 0)
     both = min(len(x) - a, len(y) - b)

@@ -67,10 +67,11 @@ def passages(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bucket = ((tri * np.uint32(0x9E3779B1)) >> np.uint32(16)) % np.uint32(BUCKETS)
         counts = np.bincount(of[:-2][whole] * width + bucket[whole], minlength=total * width)
         counts += np.bincount(of * width + BUCKETS + _class[flat], minlength=total * width)
-        # bytes that repeat what stood 5, 6, 7 or 8 bytes before, as in repeated words
+        # bytes that with the one before repeat what stood 4 to 10 bytes before, as in repeated words
         again = np.zeros(len(flat), bool)
-        for d in (4, 5, 6, 7, 8, 9, 10):
-            again[d:] |= (flat[d:] == flat[:-d]) & (flat[d - 1 : -1] == np.concatenate([flat[:1], flat])[: len(flat) - d]) & (of[d:] == of[:-d])
+        for d in range(4, min(11, len(flat))):
+            same = (flat[d:] == flat[:-d]) & (of[d:] == of[:-d])
+            again[d + 1 :] |= same[1:] & same[:-1]
         counts += np.bincount(of[again] * width + BUCKETS + CLASSES - 1, minlength=total * width)
     x = counts.reshape(total, width).astype(np.float32)
     size = np.maximum(x[:, BUCKETS : BUCKETS + CLASSES - 1].sum(1, keepdims=True), 1)
