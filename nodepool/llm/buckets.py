@@ -22,13 +22,18 @@ def matches(rows: DataFrame, check: Callable[[DataFrame], DataFrame], rounds: in
     """Pairs (a, b) that check keeps, of the rows (doc_id, band); a document that a leader
     matches is compared with that leader only, as their group is one."""
     found: list[DataFrame] = []
+    old = None
     for _ in range(rounds):
         led = rows.withColumn("a", F.min("doc_id").over(Window.partitionBy("band"))).filter("doc_id <> a")
-        led, _path = C.written(led, "buckets")
+        led, led_path = C.written(led, "buckets")
         good, _path = C.written(check(led.select("a", F.col("doc_id").alias("b")).distinct()), "pairs")
         found.append(good)
         rows = led.join(good.withColumnRenamed("b", "doc_id"), ["a", "doc_id"], "left_anti").select("doc_id", "band")
-        rows, _path = C.written(rows, "buckets")
+        rows, path = C.written(rows, "buckets")
+        for done in (led_path, old):  # nothing reads these again
+            if done:
+                C.remove_path(rows.sparkSession, done)
+        old = path
         if rows.isEmpty():
             break
     else:

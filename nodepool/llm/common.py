@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,11 +21,14 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in a session
-    that names none (tests, local runs) a temporary folder that goes at exit."""
+    """The folder that all executors share: spark.checkpoint.dir, or in a local session
+    that names none (as in tests) a temporary folder that goes at exit. A cluster must
+    name one, as its executors can't read a folder of the driver's machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         path = tempfile.mkdtemp(prefix="nodepool-")

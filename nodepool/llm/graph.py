@@ -27,17 +27,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("b", F.col("m").alias("a"))).distinct()
 
 
-def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
+def components(edges: DataFrame) -> DataFrame:
     """(b, a): each node of the edges (a, b) that isn't the least of its component, and
-    that least node. Null ends and loops count for nothing. Also the paths written."""
+    that least node. Null ends and loops count for nothing. A round's table goes once the
+    next one is written."""
     edges = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
     current, path = C.written(edges, "edges")
-    paths, before = [path], None
+    before = None
     while True:
         mark = current.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint"))).first()
         if mark == before or not mark[0]:
-            return current, paths
-        before = mark
-        step, path = C.written(_small_star(_large_star(current)), "edges")
-        paths.append(path)
-        current = step
+            return current
+        before, old = mark, path
+        current, path = C.written(_small_star(_large_star(current)), "edges")
+        C.remove_path(current.sparkSession, old)

@@ -156,7 +156,7 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     first, _path = C.written(signed.groupBy("sketch").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "first")
     equal = signed.select("doc_id", "sketch").join(first.select(F.col("doc_id").alias("a"), "sketch"), "sketch").select("a", F.col("doc_id").alias("b"))
     near = verified_pairs(first, threshold)
-    group, _paths = components(near.unionByName(equal.filter("a <> b")))
+    group = components(near.unionByName(equal.filter("a <> b")))
     return group.select(F.col("b").alias("doc_id"), F.col("a").alias("duplicate_of"))
 
 
