@@ -19,6 +19,8 @@ text an empty list. Repeated rows are encoded alike. Long texts are never cut.
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,15 @@ from pyspark.sql import DataFrame
 from . import common as C
 
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pre-tokens whose ids a worker keeps.
+PATTERN = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Distinct pieces of text whose ids a worker keeps.
 CACHE = 300_000
+#: Bytes of text that are cut before what is new in them is encoded, and new pieces after
+#: which it is encoded anyway.
+GROUP_BYTES = 16 << 20
+PENDING = 150_000
+#: Bytes of new words in the linked list at a time.
+QUEUE_BYTES = 2 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -235,40 +243,124 @@ def gather(values: np.ndarray, at: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Texts to token ids, with a cache of pre-tokens."""
+    """Texts to token ids, with a cache of what stands between spaces.
+
+    A space between two characters that aren't white space always begins a pre-token, so
+    such a text may be cut there and each piece be cut by the pattern once. Keys of the
+    cache: a piece, for the piece with a space before it; a piece and a space, for one at
+    the start of a text; two spaces and a pre-token, for texts with other white space."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = PATTERN, cache: int = CACHE) -> None:
         import regex
 
         self.vocabulary, self.find, self.most = vocabulary, regex.compile(pattern).findall, cache
+        self.by_space = pattern == PATTERN
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.ids, self.at, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > self.most:
-            self.clear()
-        words: list[str] = []
-        n_words = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                found = self.find(text)
-                n_words[i] = len(found)
-                words += found
+        self.places, self.pending = 0, []
+
+    def _pieces(self, text: str) -> list[str]:
+        if not self.by_space or "  " in text or "\n " in text or " \n" in text:
+            return ["  " + t for t in self.find(text)]
+        pieces = text.split(" ")
+        pieces[0] += " "
+        return pieces
+
+    def _place(self, words: list[str]) -> np.ndarray:
+        """Places in the cache of words; new ones get theirs at once, and are encoded by
+        learn(). -2 for a piece that is empty or has white space at an end."""
         index = self.index
-        new = [w for w in dict.fromkeys(words) if w not in index]
-        if new:
-            ids, counts = self.vocabulary.encode_many([w.encode() for w in new])
-            at = len(self.ids) + np.cumsum(counts) - counts
-            index.update(zip(new, range(len(index), len(index) + len(new))))
-            self.ids, self.at, self.count = np.append(self.ids, ids), np.append(self.at, at), np.append(self.count, counts)
-        which = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        which = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
+        missing = np.flatnonzero(which == -1).tolist()
+        if missing:
+            own = [words[i] for i in missing]
+            new = []
+            for key in dict.fromkeys(own):
+                core = key if key[:2] == "  " else key[:-1] if key[-1:] == " " else key
+                if core is not key or key[:2] != "  ":
+                    if not core or core[0].isspace() or core[-1].isspace():
+                        index[key] = -2
+                        continue
+                new.append(key)
+            index.update(zip(new, range(self.places, self.places + len(new))))
+            self.places += len(new)
+            self.pending += new
+            which[missing] = np.fromiter(map(index.__getitem__, own), np.int32, len(own))
+        return which
+
+    def learn(self) -> None:
+        """Encodes what is pending, much at a time: the queue's steps follow the number of
+        ranks, not of words."""
+        keys, self.pending = self.pending, []
+        if not keys:
+            return
+        alone = [i for i, k in enumerate(keys) if k[-1] == " " or k[:2] == "  "]
+        apart = set(alone)
+        inner = [k for i, k in enumerate(keys) if i not in apart] if alone else keys
+        # pieces put together are a text that is cut at each space, as where they came from
+        tokens = self.find(" " + " ".join(inner)) if inner else []
+        sizes = np.diff(np.append(np.flatnonzero(np.array([t[0] == " " for t in tokens], bool)), len(tokens)))
+        more = [[keys[i][2:]] if keys[i][:2] == "  " else self.find(keys[i][:-1]) for i in alone]
+        tokens += [t for own in more for t in own]
+        sizes = np.append(sizes, np.array([len(own) for own in more], np.int64))
+        known = dict.fromkeys(tokens)
+        known.update(zip(known, range(len(known))))
+        ids, counts = self._encode([t.encode() for t in known])
+        at = np.cumsum(counts) - counts
+        each = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+        lens = counts[each]
+        total = np.concatenate([[0], np.cumsum(lens)])
+        count = np.diff(total[np.concatenate([[0], np.cumsum(sizes)])])
+        begin = len(self.ids) + np.cumsum(count) - count
+        if alone:  # back to the order of places
+            order = np.argsort(np.append(np.setdiff1d(np.arange(len(keys)), alone), alone))
+            count, begin = count[order], begin[order]
+        self.at, self.count = np.append(self.at, begin), np.append(self.count, count)
+        self.ids = np.append(self.ids, gather(ids, at[each], lens))
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum([len(w) for w in words])
+        cuts = [0, *np.searchsorted(ends, np.arange(QUEUE_BYTES, ends[-1], QUEUE_BYTES)).tolist(), len(words)]
+        ids, counts = zip(*(self.vocabulary.encode_many(words[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def probe(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the cache of all texts' pieces, and how many each text has."""
+        pieces = [self._pieces(t) if t else [] for t in texts]
+        found = self._place([w for p in pieces for w in p]), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        if len(self.pending) > PENDING:
+            self.learn()
+        return found
+
+    def finish(self, probe: tuple, texts: Callable[[], list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, one after another, and how many each has."""
+        which, n_words = probe
+        if (which == -2).any():
+            # texts whose white space shows only at a piece's end are cut by the pattern
+            whole = np.unique(np.repeat(np.arange(len(n_words)), n_words)[which == -2]).tolist()
+            own, parts = texts(), np.split(which, np.cumsum(n_words)[:-1])
+            for i in whole:
+                parts[i] = self._place(["  " + t for t in self.find(own[i])])
+            self.learn()
+            which, n_words = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
         lens = self.count[which]
         total = np.concatenate([[0], np.cumsum(lens)])
         return gather(self.ids, self.at[which], lens), np.diff(total[np.concatenate([[0], np.cumsum(n_words)])])
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.forget()
+        probe = self.probe(texts)
+        self.learn()
+        return self.finish(probe, lambda: texts)
+
+    def forget(self) -> None:
+        """Empties a cache that is full; not between probe and finish."""
+        if len(self.index) > self.most:
+            self.clear()
+
 
 def same_bytes(decoded: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which of the decoded texts are the texts of flat."""
@@ -305,25 +397,26 @@ def encode(df: DataFrame, text: str = "text", vocab_path: str = DEFAULT_VOCAB, p
     df = df.drop(*[c for c in made if c != text])
     keep = [c for c in df.columns if c not in made]
 
+    def one(batch, texts, ids, counts, encoder):
+        flat, at = C.flat_text(texts)
+        good = pa.array(same_bytes(*encoder.vocabulary.decode(ids, counts), flat, at)) if check else pa.nulls(len(texts), pa.bool_())
+        lists = C.list_array(ids, counts, pa.int32(), texts.is_null() if texts.null_count else None)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(batch.schema.get_field_index(c)) for c in keep] + [lists, pa.array(counts, pa.int32()), pa.array(np.diff(at), pa.int64()), good],
+            names=keep + made,
+        )
+
     def run(batches):
         encoder = _encoder(shared.value, pattern)
         for whole in batches:
-            for batch in C.slices(whole, text):
-                texts = batch.column(batch.schema.get_field_index(text))
-                ids, counts = encoder.encode(texts.to_pylist())
-                flat, at = C.flat_text(texts)
-                if check:
-                    good = pa.array(same_bytes(*encoder.vocabulary.decode(ids, counts), flat, at))
-                else:
-                    good = pa.nulls(len(texts), pa.bool_())
-                lists = C.list_array(ids, counts, pa.int32())
-                if texts.null_count:
-                    lists = pa.array(lists.to_pylist(), pa.list_(pa.int32()), mask=np.asarray(texts.is_null()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index(c)) for c in keep]
-                    + [lists, pa.array(counts, pa.int32()), pa.array(np.diff(at), pa.int64()), good],
-                    names=keep + made,
-                )
+            at_text = whole.schema.get_field_index(text)
+            for group in C.slices(whole, text, GROUP_BYTES):
+                encoder.forget()
+                parts = list(C.slices(group, text))
+                probes = [encoder.probe(p.column(at_text).to_pylist()) for p in parts]
+                encoder.learn()
+                for batch, probe in zip(parts, probes):
+                    yield one(batch, batch.column(at_text), *encoder.finish(probe, batch.column(at_text).to_pylist), encoder)
 
     return df.mapInArrow(run, C.spark_type_ddl(df.select(*[f"`{c}`" for c in keep]), "token_ids array<int>, n_tokens int, n_bytes bigint, round_trip boolean"))
 

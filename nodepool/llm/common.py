@@ -163,10 +163,10 @@ def _powers(n: int) -> list[np.ndarray]:
     return _power_cache
 
 
-def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType, null: pa.Array | None = None) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind), mask=null)
 
 
 def spark_type_ddl(df: DataFrame, extra: str = "") -> str:

@@ -14,12 +14,13 @@ def vocabulary():
     with open(bpe.DEFAULT_VOCAB, "rb") as f:
         raw = f.read()
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}
-    return bpe.Vocabulary(raw), tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return bpe.Vocabulary(raw), tiktoken.Encoding("t", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
 
 
 def samples():
     rng = random.Random(9)
     letters = "abcdefgh the of éüß 漢字 \n\t  123 .,!?'s <|endoftext|>"
+    yield from ["\x00ab ab", "ab \x00ab", "a\tb c", "a \tb", "a\u00a0 b", "a\u2003b c\u2003", "x\n\ny z", " lead", "trail ", "a\x1cb \x1c", "_a b_ ²½ Ⅻ"]
     yield from ["", " ", "a", "aaaaaaaa", "  two  spaces \n\n", "don't we'll", "naïve 漢字 🙂", "x" * 5000, "ab" * 3000, "é" * 500]
     for _ in range(200):
         yield "".join(rng.choice(letters) for _ in range(rng.randint(1, 120)))
