@@ -55,6 +55,15 @@ def test_stages_by_brute_force(spark, sf_dir):
     assert sorted(map(str, whole)) == sorted(map(str, out.collect()))
 
 
+def test_clashing_columns_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id % 8 > 1").selectExpr("*", "'k' AS keep", "doc_id AS toxic", "'s' AS score", "1.5 AS quality_score", "array(1) AS `own.0`")
+    for _, stage in P.STAGES[:3]:
+        out = stage(spark, docs, sf_dir)
+        assert out.dtypes == docs.dtypes
+        row = out.orderBy("doc_id").filter("doc_id IS NOT NULL").first()
+        assert (row.keep, row.toxic, row.score, float(row.quality_score)) == ("k", row.doc_id, "s", 1.5)
+
+
 def test_empty(spark, sf_dir, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
