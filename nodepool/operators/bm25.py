@@ -79,7 +79,7 @@ def score(queries: DataFrame, index: Index, params: Bm25Params = Bm25Params()) -
     df = postings.join(known, ["pool", "term"], "left_semi").groupBy("pool", "term").agg(F.count("*").alias("df"))
     weighted = (
         asked.join(df, ["pool", "term"])
-        .join(F.broadcast(index.stats()), "pool")
+        .join(small(index.stats()), "pool")
         .select("query_id", "pool", "pos", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), (F.col("total_len") / F.col("n_docs")).alias("mean"))
     )
     weighted = written(weighted, "weights")

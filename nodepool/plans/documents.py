@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions.flatten import flatten
 from ..operators import bm25
 from ..operators.engines import Bm25Engine, CosineEngine, KeywordTagger
+from ..sources.shared import small
 from . import sql as S
 
 TAGGER = KeywordTagger()
@@ -92,7 +93,7 @@ def q_stats(spark, sf_dir):
 
 def q_idf(spark, sf_dir):
     index = bm25.build_index(documents(spark, sf_dir))
-    rows = index.document_frequency().join(F.broadcast(index.stats()), "pool")
+    rows = index.document_frequency().join(small(index.stats()), "pool")
     return rows.select("term", "df", F.round(bm25.idf(F.col("n_docs"), F.col("df")), 9).alias("idf"))
 
 
@@ -131,7 +132,7 @@ def q_search(spark, sf_dir):
     """Search gives the nodes themselves."""
     hits = _rank(spark, sf_dir, limit=5)
     docs = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
-    return docs.join(F.broadcast(hits), "id").select("id", "lang", "source", "text")
+    return docs.join(small(hits), "id").select("id", "lang", "source", "text")
 
 
 def q_rank_batch(spark, sf_dir):
