@@ -31,11 +31,11 @@ from . import common as C
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces of text whose ids a worker keeps.
-CACHE = 300_000
+CACHE = 800_000
 #: Bytes of text that are cut before what is new in them is encoded, and new pieces after
 #: which it is encoded anyway.
-GROUP_BYTES = 16 << 20
-PENDING = 150_000
+GROUP_BYTES = 40 << 20
+PENDING = 400_000
 #: Bytes of new words in the linked list at a time.
 QUEUE_BYTES = 2 << 20
 NONE = np.int32(2**31 - 1)
