@@ -253,3 +253,23 @@ def test_packing_odd_tables(spark):
     assert packing.pack_documents(spark.createDataFrame([], schema)).count() == 0
     many = packing.pack_documents(spark.createDataFrame([(i, f"a{i % 7} b{i % 5} c{i}", 0) for i in range(400)], schema), window=30, shard_words=50).collect()
     assert sorted(d for r in many for d in r.doc_ids) == list(range(400))
+
+
+def first_neighbours(windows):
+    return {r.doc_ids[0]: r.doc_ids[1] for r in windows if len(r.doc_ids) > 1}
+
+
+def test_packing_asks_all_shards(spark):
+    rng = random.Random(12)
+    docs = []
+    for i in range(150):  # twins share 12 words of their own; what is rarest each shares with a stranger
+        own = [f"w{i}x{k}" for k in range(12)]
+        for j in (0, 1):
+            docs.append((2 * i + j, " ".join(own + [f"rare{j}y{(i * 7 + j) % 150 // 2}", *rng.sample(WORDS, 6)])))
+    for i in range(150):  # the twins' words aren't the rarest
+        docs.append((1000 + i, " ".join(f"w{i}x{k}" for k in range(12))))
+    got = packing.pack_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), window=50, shard_words=300).collect()
+    assert sorted(d for r in got for d in r.doc_ids) == sorted(d for d, _ in docs)
+    family_of = lambda d: d // 2 if d < 1000 else d - 1000
+    pairs = [(r.doc_ids[0], d) for r in got for d in r.doc_ids[1:2]]
+    assert len(pairs) > 140 and sum(family_of(a) == family_of(b) for a, b in pairs) >= 0.9 * len(pairs)
