@@ -273,3 +273,15 @@ def test_packing_asks_all_shards(spark):
     family_of = lambda d: d // 2 if d < 1000 else d - 1000
     pairs = [(r.doc_ids[0], d) for r in got for d in r.doc_ids[1:2]]
     assert len(pairs) > 140 and sum(family_of(a) == family_of(b) for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_packing_ranks_by_whole_texts(spark):
+    """Each of a text's 80 rarest words stands in another decoy; the twin shares the other 70."""
+    own, shared = [f"ta{k}" for k in range(80)], [f"tb{k}" for k in range(70)]
+    docs = [(0, " ".join(own + shared)), (1, " ".join(shared + [f"tc{k}" for k in range(80)]))]
+    docs += [(10 + k, " ".join([w] + [f"d{k}x{i}" for i in range(5)])) for k, w in enumerate(own)]
+    docs.append((500, " ".join(shared + [f"e{k}" for k in range(301 - len(shared))])))  # fills a window: no neighbour
+    for shard_words in (10**6, 100):
+        got = packing.pack_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), window=301, shard_words=shard_words).collect()
+        near = first_neighbours(got)
+        assert near.get(0) == 1 or near.get(1) == 0
