@@ -285,3 +285,9 @@ def test_packing_ranks_by_whole_texts(spark):
         got = packing.pack_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), window=301, shard_words=shard_words).collect()
         near = first_neighbours(got)
         assert near.get(0) == 1 or near.get(1) == 0
+
+
+def test_packing_keeps_words_apart():
+    words = [f"{a}{i}" for a in WORDS for i in range(4000)]
+    names, terms, tf, begin, n = packing.hashed_terms(*flat([" ".join(words)]))
+    assert len(names) == len(terms) == len(words) == n[0] and (tf == 1).all() and begin.tolist() == [0, len(words)]
