@@ -2,8 +2,10 @@
 
 In each bucket the least document is the leader and the others are compared with it
 alone; those that it doesn't match go on to another round with another leader. After
-LEADER_ROUNDS all pairs that are still together in a bucket are compared, so no candidate
-goes unseen. A bucket of n copies thus costs n comparisons, not n squared.
+LEADER_ROUNDS all pairs that are still together in a bucket are compared. A document that
+a leader matches isn't compared with the bucket's others: in a chain a~b~c with a!~c, the
+pair of b and c is lost if a leads all the buckets that they share. A bucket of n copies
+thus costs n comparisons, not n squared.
 """
 
 from __future__ import annotations

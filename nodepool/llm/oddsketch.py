@@ -10,9 +10,11 @@ J = 1 + n / (4 K) * ln(1 - 2 p / n), which is most precise at high similarities.
 Equal sketches (p = 0) are one document for all that follows. In each band's bucket the
 least document is the leader and the others are compared with it alone; those that it
 doesn't match go on to another round with another leader. After some rounds all pairs
-that are still together in a bucket are compared, so no candidate goes unseen. A bucket
-of n copies thus costs n comparisons, not n squared. Groups are the connected components
-of the verified pairs; the least doc_id of a group stays.
+that are still together in a bucket are compared. A document that a leader matches isn't
+compared with the bucket's others, so a pair b~c is lost if a leader a that matches only b
+leads all the buckets that b and c share. A bucket of n copies thus costs n comparisons,
+not n squared. Groups are the connected components of the verified pairs; the least doc_id
+of a group stays.
 
 Rows: a document without a word (null, empty or only punctuation) is compared with none,
 nor is a row without doc_id; such rows stay. Rows that share a doc_id are one document.
