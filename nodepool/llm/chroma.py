@@ -13,8 +13,7 @@
    most MAX_ERROR, and the overlap at least MIN_OVERLAP positions.
 
 Every recording is a query. Candidates share a run of two successive different integers,
-silent positions left aside; in a bucket all are compared with the least, those that align
-leave, and the rest go on (see buckets).
+silent positions left aside; all of them are compared, and every aligned pair is given.
 
 Rows: a null, empty, broken or too short recording has an empty fingerprint and aligns
 with none; a recording without id has a fingerprint and is compared with none. Rows that
@@ -33,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .buckets import matches
 
 FRAME = 4096
 HOP = 1365
@@ -192,11 +190,16 @@ def align(x: np.ndarray, y: np.ndarray) -> tuple[int, float, int]:
     votes = np.bincount(i - order[at] + len(y) - 1)
     if votes.max() < MIN_VOTES:
         return 0, 1.0, 0
-    offset = int(votes.argmax()) - (len(y) - 1)
-    a, b = max(offset, 0), max(-offset, 0)
-    both = min(len(x) - a, len(y) - b)
-    bits = np.bitwise_count((x[a : a + both] ^ y[b : b + both]).view(np.uint32)).sum()
-    return offset, float(bits) / (32 * both), both
+
+    def at_offset(offset: int) -> tuple[int, float, int]:
+        a, b = max(offset, 0), max(-offset, 0)
+        both = min(len(x) - a, len(y) - b)
+        bits = np.bitwise_count((x[a : a + both] ^ y[b : b + both]).view(np.uint32)).sum()
+        return offset, float(bits) / (32 * both), both
+
+    # of offsets with equal votes the one with the least error, so that both directions agree
+    tied = (np.flatnonzero(votes == votes.max()) - (len(y) - 1)).tolist()
+    return min(map(at_offset, tied), key=lambda g: (g[1], abs(g[0]), g[0]))
 
 
 def aligned(pairs: DataFrame, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP) -> DataFrame:
@@ -212,25 +215,32 @@ def aligned(pairs: DataFrame, max_error: float = MAX_ERROR, min_overlap: int = M
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, offset int, bit_error double")
 
 
-def recordings_alike(prints: DataFrame) -> DataFrame:
-    """(rec_id, match_id, offset, bit_error): for each recording that aligns with a leader
-    of one of its buckets, the least such leader."""
+def aligned_pairs(prints: DataFrame) -> DataFrame:
+    """(rec_id, match_id, offset, bit_error): for each recording every other one that it
+    aligns with, and its offset there; each pair stands in both directions."""
     named = prints.filter("rec_id IS NOT NULL AND size(fingerprint) > 0")
     own, _path = C.written(named.groupBy("rec_id").agg(F.min_by(F.struct("fingerprint", "bands"), F.struct("fingerprint", "bands")).alias("f")).select("rec_id", "f.*"), "prints")
     # equal fingerprints are one in the search
-    first, _path = C.written(own.groupBy("fingerprint", "bands").agg(F.min("rec_id").alias("doc_id")), "prints")
-    equal = own.join(first.withColumnRenamed("doc_id", "a"), ["fingerprint", "bands"]).filter("a <> rec_id").select("a", F.col("rec_id").alias("b"))
+    first, _path = C.written(own.groupBy("fingerprint", "bands").agg(F.min("rec_id").alias("doc_id"), F.count("*").alias("n")), "prints")
+    member, _path = C.written(own.join(first.drop("n"), ["fingerprint", "bands"]).select("doc_id", "rec_id"), "members")
     some = first.select("doc_id", "fingerprint")
+    bands = first.select("doc_id", F.explode("bands").alias("band"))
+    pairs = bands.select(F.col("doc_id").alias("a"), "band").join(bands.select(F.col("doc_id").alias("b"), "band"), "band").filter("a < b").select("a", "b").distinct()
+    pairs = pairs.unionByName(first.filter("n > 1").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
+    left = some.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("x"))
+    right = some.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("y"))
+    near, _path = C.written(aligned(pairs.join(left, "a").join(right, "b")), "pairs")
+    both = near.unionByName(near.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("offset")).alias("offset"), "bit_error"))
+    of_a = member.select(F.col("doc_id").alias("a"), F.col("rec_id").alias("match_id"))
+    of_b = member.select(F.col("doc_id").alias("b"), "rec_id")
+    return both.join(of_a, "a").join(of_b, "b").filter("rec_id <> match_id").select("rec_id", "match_id", "offset", "bit_error")
 
-    def check(pairs: DataFrame) -> DataFrame:
-        left = some.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("x"))
-        right = some.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("y"))
-        return aligned(pairs.join(left, "a").join(right, "b"))
 
-    near = matches(first.select("doc_id", F.explode("bands").alias("band")), check)
-    both = near.unionByName(equal.select("a", "b", F.lit(0).alias("offset"), F.lit(0.0).alias("bit_error")))
-    least = both.groupBy("b").agg(F.min(F.struct("a", "offset", "bit_error")).alias("m"))
-    return least.select(F.col("b").alias("rec_id"), F.col("m.a").alias("match_id"), F.col("m.offset").alias("offset"), F.col("m.bit_error").alias("bit_error"))
+def recordings_alike(prints: DataFrame) -> DataFrame:
+    """(rec_id, match_id, offset, bit_error): for each recording that aligns with lesser
+    ones, the least of them."""
+    least = aligned_pairs(prints).filter("match_id < rec_id").groupBy("rec_id").agg(F.min(F.struct("match_id", "offset", "bit_error")).alias("m"))
+    return least.select("rec_id", "m.*")
 
 
 def melody(vector: list | None, rate: int = RATE) -> bytes | None:
@@ -249,9 +259,9 @@ def melody(vector: list | None, rate: int = RATE) -> bytes | None:
 
 def op1_chroma_fingerprints(spark, sf_dir: str) -> DataFrame:
     """The fingerprint of every vector of embeddings played as a recording (there is no
-    table of recordings), and what it aligns with."""
+    table of recordings), with a row for each recording that it aligns with."""
     media = C.read(spark, sf_dir, "embeddings").repartition(C.n_parts(spark) * 2)
     prints, _path = C.written(fingerprint(media, "vec_id", "embedding", melody), "prints")
-    found, _path = C.written(recordings_alike(prints), "alike")
+    found, _path = C.written(aligned_pairs(prints), "alike")
     out = prints.withColumnRenamed("rec_id", "vec_id").drop("bands")
     return out.join(C.sized(found.withColumnRenamed("rec_id", "vec_id")), "vec_id", "left")

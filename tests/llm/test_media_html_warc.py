@@ -74,6 +74,23 @@ def test_recordings_against_brute_force(spark):
     assert got[40].match_id == 0 and got[40].offset == 0 and got[40].bit_error == 0
 
 
+def test_every_aligned_pair(spark):
+    rng = np.random.default_rng(7)
+    x, y, z = (tune(rng.standard_normal(40)) for _ in range(3))
+    sounds = {0: x, 1: y, 2: np.concatenate([x, y]), 3: np.concatenate([y, z]), 4: z, 5: x, 6: x, 7: y}
+    rows = [(i, chroma.write_wav(s)) for i, s in sounds.items()]
+    prints = chroma.fingerprint(spark.createDataFrame(rows, "id bigint, audio binary"), "id", "audio").cache()
+    own = {r.rec_id: np.array(r.fingerprint, np.int32) for r in prints.collect()}
+    want = {}
+    for a in own:
+        for b in own:
+            if a < b and (e := chroma.align(own[a], own[b]))[1] <= chroma.MAX_ERROR and e[2] >= chroma.MIN_OVERLAP:
+                want[b, a], want[a, b] = (e[0], e[1]), (-e[0], e[1])
+    got = [((r.rec_id, r.match_id), (r.offset, r.bit_error)) for r in chroma.aligned_pairs(prints).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert {(0, 5), (5, 6), (0, 2), (2, 0), (2, 1), (2, 3)} <= set(want)
+
+
 def test_no_recordings(spark):
     prints = chroma.fingerprint(spark.createDataFrame([], "id bigint, audio binary"), "id", "audio")
     assert chroma.recordings_alike(prints).count() == 0
