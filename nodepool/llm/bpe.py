@@ -25,6 +25,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -39,6 +40,7 @@ PENDING = 400_000
 #: Bytes of new words in the linked list at a time.
 QUEUE_BYTES = 2 << 20
 NONE = np.int32(2**31 - 1)
+MADE = ["token_ids", "n_tokens", "n_bytes", "round_trip"]
 
 
 class RankQueue:
@@ -393,32 +395,28 @@ def encode(df: DataFrame, text: str = "text", vocab_path: str = DEFAULT_VOCAB, p
     is that of the file, whatever the data)."""
     with open(vocab_path, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
-    made = ["token_ids", "n_tokens", "n_bytes", "round_trip"]
-    df = df.drop(*[c for c in made if c != text])
-    keep = [c for c in df.columns if c not in made]
+    df = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys(df.columns) if c == text or c not in MADE])
+    n = len(df.columns)
 
     def one(batch, texts, ids, counts, encoder):
         flat, at = C.flat_text(texts)
         good = pa.array(same_bytes(*encoder.vocabulary.decode(ids, counts), flat, at)) if check else pa.nulls(len(texts), pa.bool_())
         lists = C.list_array(ids, counts, pa.int32(), texts.is_null() if texts.null_count else None)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index(c)) for c in keep] + [lists, pa.array(counts, pa.int32()), pa.array(np.diff(at), pa.int64()), good],
-            names=keep + made,
-        )
+        return C.batch_of(batch, n, lists, pa.array(counts, pa.int32()), pa.array(np.diff(at), pa.int64()), good)
 
     def run(batches):
         encoder = _encoder(shared.value, pattern)
         for whole in batches:
-            at_text = whole.schema.get_field_index(text)
-            for group in C.slices(whole, text, GROUP_BYTES):
+            for group in C.slices(whole, "text", GROUP_BYTES):
                 encoder.forget()
-                parts = list(C.slices(group, text))
-                probes = [encoder.probe(p.column(at_text).to_pylist()) for p in parts]
+                parts = list(C.slices(group, "text"))
+                probes = [encoder.probe(p.column(n).to_pylist()) for p in parts]
                 encoder.learn()
                 for batch, probe in zip(parts, probes):
-                    yield one(batch, batch.column(at_text), *encoder.finish(probe, batch.column(at_text).to_pylist), encoder)
+                    yield one(batch, batch.column(n), *encoder.finish(probe, batch.column(n).to_pylist), encoder)
 
-    return df.mapInArrow(run, C.spark_type_ddl(df.select(*[f"`{c}`" for c in keep]), "token_ids array<int>, n_tokens int, n_bytes bigint, round_trip boolean"))
+    done = C.with_columns(df, run, "token_ids array<int>, n_tokens int, n_bytes bigint, round_trip boolean", {"text": F.col(f"`{text}`").cast("string")})
+    return done.toDF(*df.columns, *MADE) if text not in MADE else done.toDF(*[f"__{i}" for i in range(n)], *MADE).select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(df.columns) if c != text], *MADE)
 
 
 def decode(df: DataFrame, ids: str = "token_ids", vocab_path: str = DEFAULT_VOCAB) -> DataFrame:
@@ -427,20 +425,20 @@ def decode(df: DataFrame, ids: str = "token_ids", vocab_path: str = DEFAULT_VOCA
     with open(vocab_path, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     df = df.drop("decoded")
-    keep = df.columns
+    n = len(df.columns)
 
     def run(batches):
         v = _encoder(shared.value, PATTERN).vocabulary
         for batch in batches:
             out = []
-            for row in batch.column(batch.schema.get_field_index(ids)).to_pylist():
+            for row in batch.column(n).to_pylist():
                 if row is None or any(i is None or not 0 <= i < v.size for i in row):
                     out.append(None)
                 else:
                     out.append(v.decode(np.array(row, np.int64), np.array([len(row)]))[0].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*keep, "decoded"])
+            yield C.batch_of(batch, n, pa.array(out, pa.string()))
 
-    return df.mapInArrow(run, C.spark_type_ddl(df, "decoded string"))
+    return C.with_columns(df, run, "decoded string", {"ids": F.col(f"`{ids}`")})
 
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -8,11 +8,13 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a Python worker holds decoded at a time.
 SLICE_BYTES = 2 << 20
@@ -169,10 +171,26 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType, null:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind), mask=null)
 
 
-def spark_type_ddl(df: DataFrame, extra: str = "") -> str:
-    """Schema of df as DDL, with quoted names, and further fields."""
-    own = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return f"{own}, {extra}" if extra else own
+def with_columns(df: DataFrame, run: Callable, extra: str, inputs: dict[str, Column] | None = None) -> DataFrame:
+    """df and the columns `extra` (DDL), which run makes of batches of Arrow. A batch has
+    df's columns, as c0, c1 and so on, then `inputs`; run gives df's columns and its own.
+    df's columns may have any names, nested ones too, and stand more than once."""
+    names, own = df.columns, [f"c{i}" for i in range(len(df.columns))]
+    more = df.sparkSession.createDataFrame([], extra).schema.fields
+    schema = StructType([StructField(c, f.dataType) for c, f in zip(own, df.schema.fields)] + more)
+    rows = df.select("*", *[x.alias(f"__in_{c}") for c, x in (inputs or {}).items()]).toDF(*own, *(inputs or {}))
+    return rows.mapInArrow(run, schema).toDF(*names, *[f.name for f in more])
+
+
+def schema_of(rows: DataFrame, ids: list[str], more: str) -> StructType:
+    """The columns ids of rows, of whatever type they are, and further fields (DDL)."""
+    return StructType([rows.schema[c] for c in ids] + rows.sparkSession.createDataFrame([], more).schema.fields)
+
+
+def batch_of(batch: pa.RecordBatch, n: int, *made: pa.Array) -> pa.RecordBatch:
+    """The batch's first n columns, and what was made; names don't matter but differ."""
+    columns = [*batch.columns[:n], *made]
+    return pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -163,7 +163,7 @@ def fit(x: np.ndarray, begin: np.ndarray, good: np.ndarray, epochs: int = EPOCHS
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Fits on at most `most` labelled documents; features are made where the texts are."""
-    key = F.col("doc_id").cast("bigint")
+    key = F.col("doc_id").cast("string")
     marked = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(key.alias("doc_id")).agg(F.max("quality").alias("good"))
     # rarer label first: half of the sample for each, as far as there are so many
     each = most // 2
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
                     names=["doc_id", "good", "x"],
                 )
 
-    table = rows.mapInArrow(run, "doc_id bigint, good int, x array<float>").toArrow().combine_chunks().sort_by("doc_id")
+    table = rows.mapInArrow(run, "doc_id string, good int, x array<float>").toArrow().combine_chunks().sort_by("doc_id")
     if not table.num_rows:
         return Model()
     good = (table.column("good").to_numpy() > 0).astype(np.float32)
@@ -198,17 +198,17 @@ def with_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFrame
     """docs with quality_score (the logit) and keep."""
     docs = docs.drop("quality_score", "keep")
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    n = len(docs.columns)
 
     def run(batches):
         m = held.value
         for whole in batches:
-            for batch in C.slices(whole, text):
-                x, begin = passages(*C.flat_text(batch.column(batch.schema.get_field_index(text))))
+            for batch in C.slices(whole, "text"):
+                x, begin = passages(*C.flat_text(batch.column(n)))
                 logit = m.forward(x, begin)[0].astype(float).round(4)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logit), pa.array(logit >= m.threshold)], names=[*names, "quality_score", "keep"])
+                yield C.batch_of(batch, n, pa.array(logit), pa.array(logit >= m.threshold))
 
-    return docs.mapInArrow(run, C.spark_type_ddl(docs, "quality_score double, keep boolean"))
+    return C.with_columns(docs, run, "quality_score double, keep boolean", {"text": F.col(f"`{text}`").cast("string")})
 
 
 def op6_quality_mil(spark, sf_dir: str) -> DataFrame:

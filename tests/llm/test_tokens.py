@@ -72,6 +72,16 @@ def test_table(spark):
     assert bpe.encode(df.limit(0)).count() == 0
 
 
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([("u-1", "hello world")], "doc_id string, text string").selectExpr("*", "named_struct('a b', 1, 'c`d', named_struct('e.f', text)) AS `x.y`", "'k' AS n_bytes", "1 AS c0", "2 AS ids")
+    got = bpe.encode(df)
+    assert got.columns == ["doc_id", "text", "x.y", "c0", "ids", "token_ids", "n_tokens", "n_bytes", "round_trip"]
+    back = bpe.decode(got)
+    assert back.columns == [*got.columns, "decoded"] and back.first().decoded == "hello world" and back.first()["x.y"]["a b"] == 1
+    named = bpe.encode(df.select("doc_id", df.text.alias("token_ids")), "token_ids")
+    assert named.columns == ["doc_id", "token_ids", "n_tokens", "n_bytes", "round_trip"] and named.first().n_tokens == 2
+
+
 @pytest.mark.parametrize("encoding", tokens.ENCODINGS)
 def test_token_files(spark, tmp_path, encoding):
     rng = random.Random(3)
