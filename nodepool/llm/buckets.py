@@ -1,48 +1,66 @@
-"""Comparing the documents that share a bucket, without all pairs of copies.
-
-In each bucket the least document is the leader and the others are compared with it
-alone; those that it doesn't match go on to another round with another leader. After
-LEADER_ROUNDS all pairs that are still together in a bucket are compared. A document that
-a leader matches isn't compared with the bucket's others: in a chain a~b~c with a!~c, the
-pair of b and c is lost if a leads all the buckets that they share. A bucket of n copies
-thus costs n comparisons, not n squared.
+"""Groups of documents that are alike, from the buckets that they share.
+
+A group is a connected component of the pairs that share a bucket and pass the check. All
+such pairs count, but those that can't change a component aren't compared:
+
+1. In each bucket the least document is the leader, and every other one is compared with
+   it. Components of the pairs that pass are the first labels.
+2. A bucket whose documents have one label is done: it could only add pairs inside a
+   component. In the others every pair of documents with different labels is compared that
+   has not been in step 1: those outside the bucket's largest label, with all that don't
+   share their label. Pairs that pass join labels to the final groups.
+
+A bucket of n documents, s of them outside its largest label, costs n comparisons in step
+1 and at most s * n in step 2: n for a crowd of copies, n squared where all documents of
+a bucket share it but none is like another. Large buckets are cut into blocks of BLOCK
+documents, each with a task's share of the s * n, so no task gets a whole hot bucket. The
+result doesn't depend on the documents' numbers or order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .graph import components
+
+BLOCK = 1024
+
+
+def labelled(ids: DataFrame, label: DataFrame, column: str) -> DataFrame:
+    """ids with `label`: the least of the component of the document in column, or itself."""
+    named = label.select(F.col("b").alias(column), F.col("a").alias("label"))
+    return ids.join(C.sized(named), column, "left").withColumn("label", F.coalesce("label", column))
+
+
+def rest(tagged: DataFrame) -> DataFrame:
+    """(a, b), a < b, once: the pairs of step 2, of rows (band, doc_id, leader, label)."""
+    sizes = tagged.groupBy("band", "label").count()
+    some = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("top")).filter("labels > 1")
+    rows = tagged.join(some.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("top.label").alias("top")), "band").filter("doc_id <> leader")
+    few = rows.filter("label <> top").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("doc_id").alias("x"), F.col("label").alias("of"))
+    own = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    pairs = own.join(few, ["band", "block"]).filter("label <> of AND (label = top OR doc_id < x)")
+    return pairs.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
+
 
-LEADER_ROUNDS = 3
-
-
-def matches(rows: DataFrame, check: Callable[[DataFrame], DataFrame], rounds: int = LEADER_ROUNDS) -> DataFrame:
-    """Pairs (a, b) that check keeps, of the rows (doc_id, band); a document that a leader
-    matches is compared with that leader only, as their group is one."""
-    found: list[DataFrame] = []
-    old = None
-    for _ in range(rounds):
-        led = rows.withColumn("a", F.min("doc_id").over(Window.partitionBy("band"))).filter("doc_id <> a")
-        led, led_path = C.written(led, "buckets")
-        good, _path = C.written(check(led.select("a", F.col("doc_id").alias("b")).distinct()), "pairs")
-        found.append(good)
-        rows = led.join(good.withColumnRenamed("b", "doc_id"), ["a", "doc_id"], "left_anti").select("doc_id", "band")
-        rows, path = C.written(rows, "buckets")
-        for done in (led_path, old):  # nothing reads these again
-            if done:
-                C.remove_path(rows.sparkSession, done)
-        old = path
-        if rows.isEmpty():
-            break
-    else:
-        other = rows.select(F.col("doc_id").alias("b"), "band")
-        pairs = rows.select(F.col("doc_id").alias("a"), "band").join(other, "band").filter("a < b").select("a", "b").distinct()
-        found.append(check(pairs))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+def groups(rows: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(b, a): each document that isn't the least of its group, and that least one, of
+    rows (doc_id, band); check keeps of pairs (a, b), a < b, those that are alike."""
+    spark = rows.sparkSession
+    lead = rows.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    led, led_path = C.written(rows.join(lead, "band"), "buckets")
+    near, near_path = C.written(check(led.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()), "pairs")
+    label, _path = C.written(components(near), "labels")
+    more, more_path = C.written(check(rest(labelled(led, label, "doc_id"))), "pairs")
+    ends = labelled(more, label, "a").select("b", F.col("label").alias("x"))
+    joined = components(labelled(ends, label, "b").select(F.col("label").alias("b"), F.col("x").alias("a")))
+    joined, _path = C.written(joined, "labels")
+    for path in (led_path, near_path, more_path):
+        C.remove_path(spark, path)
+    last = C.sized(joined.select(F.col("b").alias("a"), F.col("a").alias("last")))
+    moved = label.join(last, "a", "left").select("b", F.coalesce("last", "a").alias("a"))
+    return moved.unionByName(joined)

@@ -7,18 +7,14 @@ parity. The XOR of two bitmaps is the bitmap of the samples in which the documen
 differ, and its population count p gives
 J = 1 + n / (4 K) * ln(1 - 2 p / n), which is most precise at high similarities.
 
-Equal sketches (p = 0) are one document for all that follows. In each band's bucket the
-least document is the leader and the others are compared with it alone; those that it
-doesn't match go on to another round with another leader. After some rounds all pairs
-that are still together in a bucket are compared. A document that a leader matches isn't
-compared with the bucket's others, so a pair b~c is lost if a leader a that matches only b
-leads all the buckets that b and c share. A bucket of n copies thus costs n comparisons,
-not n squared. Groups are the connected components of the verified pairs; the least doc_id
-of a group stays.
+Texts with equal samples are one document for all that follows. Groups are the connected
+components of all pairs that share a band and that their sketches verify; no such pair is
+lost, but pairs inside a component aren't all compared (see buckets), so that a crowd of n
+copies costs n comparisons, not n squared. The least doc_id of a group stays.
 
 Rows: a document without a word (null, empty or only punctuation) is compared with none,
 nor is a row without doc_id; such rows stay. Rows that share a doc_id are one document.
-Texts are read whole.
+Ids may be of any type that has an order. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -29,8 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .buckets import matches
-from .graph import components
+from .buckets import groups, labelled
 
 SAMPLES = 128
 BANDS = 32
@@ -130,16 +125,17 @@ def sign(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
                     names=["doc_id", "bands", "sketch"],
                 )
 
-    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id bigint, bands array<bigint>, sketch array<bigint>")
+    rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    return rows.mapInArrow(run, C.schema_of(rows, ["doc_id"], "bands array<bigint>, sketch array<bigint>"))
 
 
 def differing_bits(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b)), F.lit(0), lambda acc, v: acc + F.bit_count(v))
 
 
-def verified_pairs(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): pairs that a bucket leads to and whose sketches reach the threshold."""
+def verified(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(b, a): each document that isn't the least of its group, and that least one; groups
+    join pairs that share a band and whose sketches reach the threshold."""
     limit = most_bits(threshold)
     sketches = signed.select("doc_id", "sketch")
 
@@ -148,18 +144,18 @@ def verified_pairs(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         right = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
         return pairs.join(left, "a").join(right, "b").filter(differing_bits("x", "y") <= limit).select("a", "b")
 
-    return matches(signed.select("doc_id", F.explode("bands").alias("band")), check)
+    return groups(signed.select("doc_id", F.explode("bands").alias("band")), check)
 
 
 def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, duplicate_of): each document that isn't the least of its group, and that one."""
     signed, _path = C.written(sign(df, doc_id, text), "signed")
-    # equal sketches come from equal samples, hence from equal bands
-    first, _path = C.written(signed.groupBy("sketch").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "first")
-    equal = signed.select("doc_id", "sketch").join(first.select(F.col("doc_id").alias("a"), "sketch"), "sketch").select("a", F.col("doc_id").alias("b"))
-    near = verified_pairs(first, threshold)
-    group = components(near.unionByName(equal.filter("a <> b")))
-    return group.select(F.col("b").alias("doc_id"), F.col("a").alias("duplicate_of"))
+    # equal bands come from equal samples, hence from equal sketches
+    first, _path = C.written(signed.groupBy("bands", "sketch").agg(F.min("doc_id").alias("doc_id")), "first")
+    equal = signed.select("doc_id", "bands").join(first.select(F.col("doc_id").alias("a"), "bands"), "bands").select("a", F.col("doc_id").alias("b"))
+    near, _path = C.written(verified(first, threshold), "near")
+    copies = labelled(equal.filter("a <> b"), near, "a").select(F.col("b").alias("doc_id"), F.col("label").alias("duplicate_of"))
+    return copies.unionByName(near.select(F.col("b").alias("doc_id"), F.col("a").alias("duplicate_of")))
 
 
 def without_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
