@@ -13,7 +13,8 @@
 Rows: a response without digest is written as it is; a revisit without one is unresolved.
 A null payload of a response is written as an empty block; null headers are left out.
 A record without id gets one from its other headers. Records that share an id are each
-written, with the verdict of the earliest and the least of their payloads.
+written, with the verdict of the earliest and the least of their payloads. Payloads are
+strings or binary. Columns of records other than these are no part of an archive.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -80,7 +82,8 @@ def resolve(records: DataFrame) -> DataFrame:
 
 def record_bytes(row: dict) -> bytes:
     """One record with its headers and block."""
-    block = (row["payload"] or "").encode() if row["warc_type"] != "revisit" else b""
+    payload = row["payload"] or b""
+    block = b"" if row["warc_type"] == "revisit" else payload.encode() if isinstance(payload, str) else payload
     fields = [
         ("WARC-Type", row["warc_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Date", row["warc_date"]), ("WARC-Target-URI", row["target_uri"]),
         ("WARC-Payload-Digest", row["payload_digest"]), ("WARC-Block-Digest", "sha1:" + hashlib.sha1(block).hexdigest()),
@@ -94,24 +97,72 @@ def record_bytes(row: dict) -> bytes:
 
 def read_archive(data: bytes) -> list[tuple[dict, bytes]]:
     """Headers and blocks of an archive (or of one member of it)."""
-    out, raw = [], gzip.decompress(data)
-    f = io.BytesIO(raw)
+    return list(_records(gzip.GzipFile(fileobj=io.BytesIO(data))))
+
+
+def _records(f) -> Iterator[tuple[dict, bytes]]:
+    """Headers and blocks of a stream of records, one at a time."""
     while line := f.readline():
-        if line.strip() != b"WARC/1.1":
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/1."):
             raise ValueError(f"no record begins with {line[:20]!r}")
         headers = {}
         while (line := f.readline()) not in (b"\r\n", b""):
-            k, _, v = line.decode().rstrip("\r\n").partition(": ")
-            headers[k] = v
-        block = f.read(int(headers["Content-Length"]))
-        f.read(4)
-        out.append((headers, block))
-    return out
+            k, _, v = line.decode("utf-8", "replace").rstrip("\r\n").partition(":")
+            headers[k] = v.strip()
+        yield headers, f.read(int(headers["Content-Length"]))
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all archives (.warc, .warc.gz) under a folder, as resolve() and
+    write_archives() take them; a task reads an archive as a stream, a record at a time.
+    The payload is a record's whole block."""
+    path = qualified(spark, path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hadoop, True)
+    names = []
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        if name.endswith((".warc", ".warc.gz")) and not name.rpartition("/")[2].startswith((".", "_")):
+            names.append(name)
+    files = spark.createDataFrame([(n,) for n in sorted(names)], "name string").repartition(max(1, len(names)), "name")
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                store, root = fs.FileSystem.from_uri(name if "://" in name else name.replace("file:", "file://", 1))
+                with store.open_input_stream(root, compression=None) as f:
+                    raw = gzip.GzipFile(fileobj=f) if name.endswith(".gz") else io.BufferedReader(f)
+                    rows, held = [], 0
+                    for h, block in _records(raw):
+                        rows.append((h.get("WARC-Record-ID"), h.get("WARC-Type"), h.get("WARC-Target-URI"), h.get("WARC-Date"), h.get("WARC-Payload-Digest"), None if h.get("WARC-Type") == "revisit" else block))
+                        held += len(block)
+                        if held > C.SLICE_BYTES:
+                            yield _read(rows)
+                            rows, held = [], 0
+                    if rows:
+                        yield _read(rows)
+
+    def _read(rows):
+        kinds = [pa.string()] * len(HEADERS) + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[*HEADERS, "payload"])
+
+    return files.mapInArrow(run, ", ".join(f"{c} string" for c in HEADERS) + ", payload binary")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme: that of Hadoop's default file system, where it names none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
 def write_archives(records: DataFrame, path: str) -> DataFrame:
     """Writes the records, deduplicated, as archives under path; gives the index: what
     resolve() gives, and archive, offset and length of each record."""
+    path = qualified(records.sparkSession, path)
     verdict = resolve(records).withColumn("__order", F.struct("warc_date", "target_uri"))
     columns = [c for c in verdict.columns if c != "__order"]
     one = verdict.groupBy("record_id").agg(F.min_by(F.struct(*columns), "__order").alias("v"), F.count("*").cast("int").alias("n"))
@@ -124,7 +175,7 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store, root = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
         store.create_dir(root, recursive=True)
         name = f"part-{task.partitionId():05d}.warc.gz"
         part = f"{root}/.{name}.{task.taskAttemptId()}"

@@ -162,6 +162,103 @@ def test_very_long_and_deep_pages(spark):
     assert {r.n_content for r in got} == {3001}
 
 
+def test_deep_pages_of_different_shapes(spark):
+    rows = [(f"p{i}", "http://b.org/", "<div>" * (1500 + i) + f"deep {i}" + "<b>x</b>" * i) for i in range(4)]
+    got = {r.page_id: r.content for r in wrapper.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert all(f"deep {i}" in got[f"p{i}"] for i in range(4))
+    m = wrapper.Matcher()
+    a, b = ([2] * n + [3] * k for n, k in ((3000, 1), (2900, 2)))
+    chain = lambda keys, k: list(range(len(keys), k, -1)) + [1] * k
+    assert len(m.align(a, chain(a, 1), b, chain(b, 2))) == 2900 - 100 + 100
+
+
+def test_signs_in_attributes():
+    texts = [t for t in wrapper.parse("<a title=\"x>y\" href=z>link</a><b data-x='>'>bold</b><i a=\"open>it</i> 5 > 3")[2] if t]
+    assert texts[:2] == ["link", "bold"] and "y\"" not in " ".join(texts) and texts[-1].endswith("5 > 3")
+
+
+def two_layouts():
+    rows = []
+    for i in range(30):
+        rows.append((i, f"http://h.org/{i}", page(f"T{i}", [f"body {i} {k}" for k in range(i % 5 + 1)])))
+        boxes = "".join(f"<section class=card><h3>item {i} {k}</h3><span class=more>Read more</span></section>" for k in range(3))
+        rows.append((100 + i, f"http://h.org/list/{i}", f"<html><body><main class=list><em class=lead>All items</em><div class=grid>{boxes}</div><aside class=tip>Subscribe today</aside><small class=legal>Terms apply</small></main></body></html>"))
+    rows += [(500 + i, f"http://h.org/o{i}", f"<table class=t{i}><tr><td class=u{i}>only {i}</td></tr></table>") for i in range(3)]
+    rows += [(600 + i, f"http://h.org/v{i}", f"<dl class=v><dt class=w>fixed</dt><dd class=z>slot {i}</dd></dl>") for i in range(2)]
+    return rows
+
+
+def test_each_layout_has_a_template(spark):
+    df = spark.createDataFrame(two_layouts(), "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in wrapper.extract(df).collect()}
+    assert len(got) == 65
+    for i in range(30):
+        assert got[i].content.split("\n") == [f"T{i}", f"T{i}", *(f"body {i} {k}" for k in range(i % 5 + 1))]
+        assert got[100 + i].content.split("\n") == [f"item {i} {k}" for k in range(3)] and got[100 + i].n_template == 6
+    assert [got[500 + i].content for i in range(3)] == ["only 0", "only 1", "only 2"] and [got[600 + i].content for i in range(2)] == ["slot 0", "slot 1"]
+
+
+def test_extraction_by_brute_force(spark):
+    """Every page's content, by the definition: groups, seeds, plain matching, counts."""
+    pages = [(i, u, h) for i, u, h in two_layouts()] + [(900 + i, "http://x.net/", f"<p>one</p><p>{i}</p>") for i in range(3)] + [(950, "http://lone.net", "<b>x</b>")]
+    tree = {i: wrapper.parse(h) for i, _, h in pages}
+    host = {i: u.split("/")[2] for i, u, _ in pages}
+
+    def match(a, b):
+        """Pairs of the best matching of two subtrees, leftmost where it ties."""
+        (ka, sa, _), (kb, sb, _) = a, b
+
+        def children(sizes, i):
+            j = i + 1
+            while j < i + sizes[i]:
+                yield j
+                j += sizes[j]
+
+        memo: dict = {}
+
+        def weight(i, j):
+            if (i, j) not in memo:
+                memo[i, j] = 0
+                if ka[i] == kb[j]:
+                    x, y = [*children(sa, i)], [*children(sb, j)]
+                    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+                    for p, u in enumerate(x):
+                        for q, v in enumerate(y):
+                            m[p + 1][q + 1] = max(m[p][q + 1], m[p + 1][q], m[p][q] + weight(u, v))
+                    memo[i, j] = 1 + m[-1][-1]
+            return memo[i, j]
+
+        return weight(0, 0)
+
+    content, rest = {}, list(tree)
+    for level, group in enumerate((lambda i: host[i], lambda i: (host[i], wrapper.marks(*tree[i][:2])[0]), lambda i: (host[i], wrapper.marks(*tree[i][:2])[1]))):
+        left = []
+        for g in {group(i) for i in rest}:
+            own = [i for i in rest if group(i) == g]
+            seed = min(own, key=lambda i: (-len(set(tree[i][0])), i))
+            votes: dict = {}
+            fit = {}
+            for i in own:
+                pairs, fits = wrapper.Matcher().fit(*tree[i][:2], *tree[seed][:2])
+                assert len(pairs) == match(tree[i], tree[seed])
+                kinds = wrapper.edges(*tree[i][:2])
+                assert fits == (len({kinds[a] for a, _ in pairs}) >= wrapper.FITS * len(set(kinds)))
+                if fits or level == 2:
+                    fit[i] = pairs
+                    for a, b in pairs:
+                        if tree[i][2][a] is not None:
+                            votes.setdefault(b, []).append(tree[i][2][a])
+                else:
+                    left.append(i)
+            fixed = {b: t for b, ts in votes.items() for t in set(ts) if len(ts) >= wrapper.MIN_PAGES and ts.count(t) >= wrapper.CONSTANT * len(ts)}
+            for i, pairs in fit.items():
+                gone = {a for a, b in pairs if b in fixed and tree[i][2][a] == fixed[b]}
+                content[i] = "\n".join(t for a, t in enumerate(tree[i][2]) if t is not None and a not in gone).replace("&copy;", "\u00a9")
+        rest = left
+    got = {r.page_id: r.content for r in wrapper.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == content
+
+
 # WARC
 
 
@@ -197,6 +294,20 @@ def test_no_records_and_null_pages(spark):
     assert index.count() == 0
 
 
+def test_binary_payloads_and_reading_again(spark, tmp_path):
+    schema = "record_id string, warc_type string, target_uri string, warc_date string, payload_digest string, payload binary, part int"
+    blocks = [bytes([0, 255, 10, 13]) * 100, b"", "caf\u00e9".encode()]
+    rows = [(f"r{i}", "response", f"u{i}", f"2024-01-0{i + 1}", f"d{i}", bytearray(b), i) for i, b in enumerate(blocks)] + [("r9", "response", "u9", "2024-01-09", "d0", bytearray(blocks[0]), 9)]
+    index = warc.write_archives(spark.createDataFrame(rows, schema), str(tmp_path / "out"))
+    assert "part" not in index.columns and index.count() == 4
+    back = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path / "out")).collect()}
+    assert [bytes(back[f"r{i}"].payload) for i in range(3)] == blocks and back["r9"].warc_type == "revisit" and back["r9"].payload is None
+    again = warc.resolve(warc.read_archives(spark, str(tmp_path / "out"))).filter("record_id = 'r9'").first()
+    assert again.refers_to == "r0" and again.resolved
+    assert warc.read_archives(spark, str(tmp_path)).count() == 4
+    assert warc.qualified(spark, "/x/y").startswith("file:/")
+
+
 @pytest.mark.parametrize("text", ["", "no record"])
 def test_broken_archive(text):
     if text:

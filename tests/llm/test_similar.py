@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from nodepool.llm import common as C
-from nodepool.llm import digest, graph, oddsketch, packing
+from nodepool.llm import buckets, digest, graph, oddsketch, packing
 
 WORDS = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ru", "te") for b in ("na", "pi", "so", "vu") for c in ("x", "rd", "lm", "nt", "q")]
 
@@ -67,6 +67,36 @@ def test_components(spark):
     assert graph.components(df.limit(0)).count() == 0
 
 
+def test_groups_of_buckets_against_brute_force(spark):
+    """Any links between documents that share a bucket, chains and stars among them."""
+    rng = random.Random(21)
+    for blocks in (buckets.BLOCK, 3):
+        held, buckets.BLOCK = buckets.BLOCK, blocks
+        rows = [(1, 900), (2, 900), (3, 900)] + [(d, rng.randrange(12)) for d in range(10, 90) for _ in range(2)] + [(d, 500) for d in range(10, 60)]
+        links = {(2, 3)} | {tuple(sorted(rng.sample(range(10, 90), 2))) for _ in range(60)}
+        kept = spark.createDataFrame(sorted(links), "a bigint, b bigint")
+        shared = {(a, b) for a, x in rows for b, y in rows if a < b and x == y}
+        got = buckets.groups(spark.createDataFrame(rows, "doc_id bigint, band bigint").distinct(), lambda pairs: pairs.join(kept, ["a", "b"], "left_semi"))  # noqa: B023
+        assert {r.b: r.a for r in got.collect()} == groups_of(links & shared)
+        buckets.BLOCK = held
+
+
+def test_a_bucket_of_strangers_and_a_crowd(spark):
+    """Pairs compared: at most n for a crowd; the square where none is like another."""
+    seen = []
+
+    def check(pairs):
+        seen.append(pairs.count())
+        return pairs.filter("a < 5000 AND b < 5000")  # below 5000 all are alike
+
+    crowd = spark.range(2000).selectExpr("id AS doc_id", "7 AS band").union(spark.createDataFrame([(5001, 7), (5002, 7)]))
+    got = {r.b: r.a for r in buckets.groups(crowd, check).collect()}
+    assert len(got) == 1999 and set(got.values()) == {0} and max(seen) <= 2 * 2002
+    seen.clear()
+    strangers = spark.range(6000, 6300).selectExpr("id AS doc_id", "7 AS band")
+    assert buckets.groups(strangers, check).count() == 0 and sum(seen) == 300 * 299 // 2
+
+
 def test_odd_sketch_estimates_high_similarities():
     rng, errors = random.Random(2), []
     for _ in range(40):
@@ -88,7 +118,13 @@ def test_duplicates_against_brute_force(spark):
     got = {r.doc_id: r.duplicate_of for r in oddsketch.duplicates(df).collect()}
     sure = groups_of((i, j) for i in range(len(docs)) for j in range(i) if jaccard(docs[i], docs[j]) >= oddsketch.THRESHOLD + 0.1)
     at_most = groups_of((i, j) for i in range(len(docs)) for j in range(i) if jaccard(docs[i], docs[j]) >= oddsketch.THRESHOLD - 0.15)
-    assert len(sure) > 15 and sum(i in got for i in sure) >= 0.97 * len(sure)
+    assert len(sure) > 15 and sum(i in got for i in sure) >= 0.97 * len(sure)  # what the samples show of the texts
+    signed = {r.doc_id: (set(r.bands), np.array(r.sketch)) for r in oddsketch.sign(df).collect()}
+    limit = oddsketch.most_bits(oddsketch.THRESHOLD)
+    alike = lambda x, y: x[0] & y[0] and int(np.bitwise_count((x[1] ^ y[1]).view(np.uint64)).sum()) <= limit
+    assert got == groups_of((i, j) for i in signed for j in signed if i < j and alike(signed[i], signed[j]))
+    texts = oddsketch.duplicates(df.selectExpr("concat('u-', lpad(CAST(doc_id AS STRING), 5, '0')) AS doc_id", "text"))
+    assert {int(r.doc_id[2:]): int(r.duplicate_of[2:]) for r in texts.collect()} == got
     assert all(at_most[i] <= got[i] for i in got if i < 1000) and got[2000] == 0 and got[3001] == 3000 and not {1000, 1001, 1002, 1003} & set(got)
     left = oddsketch.without_duplicates(df)
     kept = [r.doc_id for r in left.collect()]
@@ -164,15 +200,30 @@ def test_filters_chain_and_compare():
 
 def test_alike_against_brute_force(spark):
     docs = [d for d in family(5, 10, 15) if len(d) > 300]
+    rng = random.Random(15)
+    for k in (1, 2, 3, 5, 10):  # texts that hold others whole, and texts that share a part
+        long = text_of(rng, 40 * k)
+        docs += [long, text_of(rng, 40) + " " + long]
     rows = [(i, t) for i, t in enumerate(docs)] + [(1000, None), (1001, ""), (1002, "short"), (None, docs[0]), (0, docs[0]), (2000, docs[0]), (3000, " ".join(docs) * 5)]
     made = digest.digest(spark.createDataFrame(rows, "doc_id bigint, text string")).cache()
-    own = {r.doc_id: r.digest for r in made.collect() if r.doc_id is not None}
-    assert [len(own[i]) for i in (1000, 1001, 1002)] == [0, 0, 0] and len(own[3000]) > 2
+    own = {r.doc_id: (r.digest, set(r.bands)) for r in made.collect() if r.doc_id is not None}
+    assert [len(own[i][0]) for i in (1000, 1001, 1002)] == [0, 0, 0] and len(own[3000][0]) > 2
     got = {r.doc_id: r.like_id for r in digest.alike(made).collect()}
     ids = sorted(own)
-    want = groups_of((a, b) for a in ids for b in ids if a < b and digest.similarity(own[a], own[b]) >= digest.LIKE)
-    assert len(want) > 10 and sum(i in got for i in want) >= 0.95 * len(want) and all(want.get(i, -1) >= 0 and got[i] >= want[i] for i in got) and got[2000] == 0
+    pairs = [(a, b) for a in ids for b in ids if a < b and digest.similarity(own[a][0], own[b][0]) >= digest.LIKE]
+    met = [(a, b) for a, b in pairs if own[a][1] & own[b][1]]
+    assert len(pairs) > 20 and len(met) >= 0.97 * len(pairs)  # what the bands find of all pairs
+    assert got == groups_of(met) and got[2000] == 0
     assert digest.alike(made.limit(0)).count() == 0
+    texts = digest.alike(digest.digest(spark.createDataFrame([(f"u-{i}", docs[0]) for i in range(3)], "doc_id string, text string")))
+    assert {(r.doc_id, r.like_id) for r in texts.collect()} == {("u-1", "u-0"), ("u-2", "u-0")}
+
+
+def test_near_copies_at_the_border_of_a_filter():
+    h = np.array([int.from_bytes(hashlib.md5(str(i).encode()).digest()[:8], "little") for i in range(400)], np.uint64)
+    chain = lambda k: [r.tobytes() for r in digest.filters(h[:k], np.array([0, k]))[0]]
+    assert digest.similarity(chain(digest.PER_FILTER), chain(digest.PER_FILTER + 5)) > 0.9
+    assert digest.similarity(chain(40), chain(120)) < digest.LIKE
 
 
 # packing
