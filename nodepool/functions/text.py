@@ -59,13 +59,13 @@ def terms(
 ) -> Column:
     """Distinct terms in the order of first sight. A stemmer that gives null or an empty
     string drops the term; None leaves words unstemmed."""
-    stop = F.array(*[F.lit(w) for w in sorted(stopwords)]) if stopwords else None
+    stop = sorted(stopwords) if stopwords else []
 
     def kept(w: Column) -> Column:
         long = F.length(w) >= min_length
-        return long & ~F.array_contains(stop, w) if stop is not None else long
+        return long & ~w.isin(stop) if stop else long  # looked up in a hash set
 
-    words = F.filter(tokens(text), kept)
+    words = F.filter(F.array_distinct(tokens(text)), kept)
     if stemmer is not None:
         words = F.filter(F.transform(words, stemmer), lambda w: w.isNotNull() & (w != ""))
     return F.array_distinct(words)

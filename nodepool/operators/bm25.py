@@ -7,7 +7,7 @@ queries of any length. Order is score descending, then id.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,13 +29,62 @@ class Bm25Params:
 
 @dataclass(frozen=True)
 class Index:
-    """docs: (pool, id, terms, doc_len) of the nodes that have a term."""
+    """docs: (pool, id, terms, doc_len) of the nodes that have a term. by_term: postings
+    (pool, id, term, tf, doc_len) in the order of their terms, so that a query's terms reach
+    the row groups that hold them; made by sorted_by_term()."""
 
     docs: DataFrame
     distinct: bool = True
+    by_term: DataFrame | None = None
+
+    def sorted_by_term(self) -> Index:
+        """With postings written by term: what an index is worth that many searches read."""
+        rows = self._exploded()
+        parts = rows.sparkSession.sparkContext.defaultParallelism
+        return replace(self, by_term=written(rows.repartitionByRange(parts, "term", "pool").sortWithinPartitions("term", "pool"), "postings"))
+
+    def add(self, nodes: DataFrame) -> Index:
+        """With more nodes (pool, id, terms), whose ids it doesn't have."""
+        more = Index(_indexed(nodes), self.distinct)
+        grown = None if self.by_term is None else self.by_term.unionByName(more._exploded())
+        return replace(self, docs=self.docs.unionByName(more.docs), by_term=grown)
+
+    def remove(self, ids: DataFrame) -> Index:
+        """Without the nodes of ids (id); those it doesn't have are passed over."""
+        gone = small(ids.select("id").distinct())
+        left = lambda df: None if df is None else df.join(gone, "id", "left_anti").select(*df.columns)
+        return replace(self, docs=left(self.docs), by_term=left(self.by_term))
+
+    def has(self, id: str) -> bool:  # noqa: A002
+        return not self.docs.filter(F.col("id") == id).isEmpty()
+
+    @property
+    def size(self) -> int:
+        return self.docs.count()
+
+    def length(self, id: str) -> int:  # noqa: A002
+        """The number of a node's terms; 0 if it isn't here."""
+        row = self.docs.filter(F.col("id") == id).first()
+        return row.doc_len if row else 0
+
+    def clear(self) -> Index:
+        return Index(self.docs.limit(0), self.distinct)
+
+    def with_terms(self, known: DataFrame, most: int = 1000) -> DataFrame:
+        """The postings of terms (pool, term). Few terms are put into the scan's filter."""
+        rows = self.postings()
+        if self.by_term is not None:
+            some = known.select("term").distinct().limit(most + 1).collect()
+            if len(some) <= most:
+                rows = rows.filter(F.col("term").isin([r.term for r in some]))
+        return rows.join(small(known), ["pool", "term"], "left_semi").select("pool", "id", "term", "tf", "doc_len")
 
     def postings(self) -> DataFrame:
-        """(pool, id, term, tf, doc_len). Terms that are known to be distinct need no shuffle."""
+        """(pool, id, term, tf, doc_len)."""
+        return self._exploded() if self.by_term is None else self.by_term
+
+    def _exploded(self) -> DataFrame:
+        """Terms that are known to be distinct need no shuffle."""
         rows = self.docs.select("pool", "id", "doc_len", F.explode("terms").alias("term"))
         if self.distinct:
             return rows.withColumn("tf", F.lit(1).cast("bigint"))
@@ -49,11 +98,15 @@ class Index:
         return self.postings().groupBy("pool", "term").agg(F.count("*").alias("df"))
 
 
-def build_index(nodes: DataFrame, distinct: bool = True, keep: bool = True) -> Index:
-    """Index of nodes (pool, id, terms). Nodes whose terms are null or empty don't count. With
-    keep it is written to the shared folder, and queries read it rather than the texts."""
-    docs = nodes.select("pool", "id", "terms", F.size("terms").cast("bigint").alias("doc_len")).filter("doc_len > 0")
-    return Index(written(docs, "index") if keep else docs, distinct)
+def _indexed(nodes: DataFrame) -> DataFrame:
+    """Terms are worked out once: the filter on their number is one on the written table."""
+    return written(nodes.select("pool", "id", "terms", F.size("terms").cast("bigint").alias("doc_len")), "index").filter("doc_len > 0")
+
+
+def build_index(nodes: DataFrame, distinct: bool = True) -> Index:
+    """Index of nodes (pool, id, terms), written to the shared folder. Nodes whose terms are
+    null or empty don't count."""
+    return Index(_indexed(nodes), distinct)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -74,9 +127,8 @@ def score(queries: DataFrame, index: Index, params: Bm25Params = Bm25Params()) -
     """(query_id, pool, id, score, raw) of every node that shares a term with a query.
     queries: (query_id, pool, terms). A term that stands twice in a query counts twice."""
     asked = queries.select("query_id", "pool", F.posexplode("terms").alias("pos", "term"))
-    known = small(asked.select("pool", "term").distinct())
-    postings = index.postings()
-    df = postings.join(known, ["pool", "term"], "left_semi").groupBy("pool", "term").agg(F.count("*").alias("df"))
+    postings = written(index.with_terms(asked.select("pool", "term").distinct()), "hits")
+    df = postings.groupBy("pool", "term").agg(F.count("*").alias("df"))
     weighted = (
         asked.join(df, ["pool", "term"])
         .join(small(index.stats()), "pool")

@@ -1,7 +1,11 @@
 """What a pool's search is made of, and how to swap it.
 
 A tagger has keywords(content_text) -> array Column, and query_terms(text) -> array
-Column. An engine has search(queries, nodes, limit, min_score, askers) -> ranked rows.
+Column. One that writes other tags has for_node(node) -> JSON text of the whole bucket, where
+node is a dict of Columns (id, pool, content_json, content_text), and terms_of(tags_json)
+-> array Column. An engine has search(queries, nodes, limit, min_score, askers) -> ranked
+rows; one that has index(nodes) as well gives an index that a pool keeps, adds to and takes
+from (add, remove), and search gets it in place of the nodes.
 """
 
 from __future__ import annotations
@@ -48,14 +52,19 @@ class Bm25Engine:
     distinct: bool = False
 
     def search(self, queries, nodes, limit=10, min_score=0.0, askers=None):
-        """nodes: (pool, id, terms)."""
-        return bm25.top(bm25.score(queries, bm25.build_index(nodes, self.distinct), self.params), limit, min_score, askers)
+        """nodes: (pool, id, terms), or an index of them."""
+        held = nodes if isinstance(nodes, bm25.Index) else bm25.build_index(nodes, self.distinct)
+        return bm25.top(bm25.score(queries, held, self.params), limit, min_score, askers)
+
+    def index(self, nodes: DataFrame) -> bm25.Index:
+        return bm25.build_index(nodes, self.distinct).sorted_by_term()
 
 
 @dataclass(frozen=True)
 class CosineEngine:
     """Ranks by the cosine of vectors: queries (query_id, pool, vector) against nodes (pool,
-    id, vector). All pairs are compared; the query side is broadcast while small."""
+    id, vector). Exact: every node of a pool is compared with each query in it, so the cost is
+    queries times nodes; the query side is broadcast while small."""
 
     def search(self, queries, nodes, limit=10, min_score=0.0, askers=None):
         from ..sources.shared import small

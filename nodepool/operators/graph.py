@@ -13,6 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import numbered
+
+#: Defaults of the graph, in one place to read.
+DEFAULTS = {"decay_ms": None}
 EDGES = "edge_seq bigint, owner string, direction string, other string, observed_at bigint"
 
 
@@ -59,21 +63,25 @@ class DecayGraph:
         w = Window.partitionBy("owner", "direction", "other").orderBy("edge_seq")
         gap = F.col("observed_at") - F.lag("observed_at").over(w) > self.decay_ms
         life = F.sum(F.when(F.coalesce(gap, F.lit(False)), 1).otherwise(0)).over(w)
-        lives = log.withColumn("life", life)
+        # one row for each lifetime, then the last one: an edge's history is never one value
+        lives = log.withColumn("life", life).groupBy("owner", "direction", "other", "life").agg(
+            F.min("edge_seq").alias("edge_seq"), F.max("edge_seq").alias("until"), F.max(F.col("observed_at").isNull()).alias("always"), F.max_by("observed_at", "edge_seq").alias("observed_at")
+        )
         state = lives.groupBy("owner", "direction", "other").agg(
-            F.max_by("life", "edge_seq").alias("last"),
-            F.when(F.max(F.col("observed_at").isNull()), None).otherwise(F.max_by("observed_at", "edge_seq")).alias("observed_at"),
-            F.sort_array(F.collect_set(F.struct("life", "edge_seq"))).alias("began"),
+            F.max_by("edge_seq", "life").alias("edge_seq"), F.when(F.max("always"), None).otherwise(F.max_by("observed_at", "until")).alias("observed_at")
         )
-        first = F.filter("began", lambda x: x["life"] == F.col("last"))[0]["edge_seq"]
-        return self.alive(state.select(first.alias("edge_seq"), "owner", "direction", "other", "observed_at"), now)
+        return self.alive(state.select("edge_seq", "owner", "direction", "other", "observed_at"), now)
 
     def link(self, log: DataFrame, pairs: DataFrame) -> DataFrame:
         return log.unionByName(links(pairs))
 
-    def sweep(self, log: DataFrame, now: int) -> DataFrame:
-        """The log without the rows of edges that have expired: compaction for good."""
-        return self.current(log, now)
+    def sweep(self, log: DataFrame, now: int, owners: DataFrame | None = None) -> DataFrame:
+        """The log without the rows of edges that have expired: compaction for good. Of
+        owners (id) only, where they are given."""
+        if owners is None:
+            return self.current(log, now)
+        touched = owners.select(F.col("id").alias("owner")).distinct()
+        return log.join(touched, "owner", "left_anti").select(*log.columns).unionByName(self.current(log.join(touched, "owner", "left_semi").select(*log.columns), now))
 
     def neighbors(self, log: DataFrame, now: int, nodes: DataFrame | None = None) -> DataFrame:
         """(node_id, ord, id, observed_at, direction): edges out first, then edges in, each
@@ -89,9 +97,8 @@ class DecayGraph:
 def search_links(ranked: DataFrame, askers: DataFrame, now: int, first_seq: int) -> DataFrame:
     """Links (edge_seq, from_id, to_id, observed_at) that a search writes: from its asker to each hit, in
     their order. Nothing in a ranking reads them."""
-    hits = ranked.join(askers, "query_id").filter("asker_id IS NOT NULL")
-    base = Window.orderBy("query_id", "rank")
-    return hits.select((F.row_number().over(base) + F.lit(first_seq)).cast("bigint").alias("edge_seq"), F.col("asker_id").alias("from_id"), F.col("id").alias("to_id"), F.lit(now).cast("bigint").alias("observed_at"))
+    hits = numbered(ranked.join(askers, "query_id").filter("asker_id IS NOT NULL"), [F.col("query_id"), F.col("rank"), F.col("id")], "edge_seq", first_seq + 1)
+    return hits.select("edge_seq", F.col("asker_id").alias("from_id"), F.col("id").alias("to_id"), F.lit(now).cast("bigint").alias("observed_at"))
 
 
 def lifetimes(log: DataFrame, decay_ms: int) -> DataFrame:

@@ -42,7 +42,8 @@ def empty(spark: SparkSession) -> DataFrame:
 
 def from_objects(spark: SparkSession, inputs: Iterable[dict]) -> DataFrame:
     """Rows of INPUTS from Python objects {id?, content, tags?, metadata?}. Content may be
-    null (a structural node) but not absent."""
+    null (a structural node) but not absent. graph, the node's edges, isn't a column of a
+    node: see graph_of."""
     rows = []
     for n, given in enumerate(inputs):
         if "content" not in given:
@@ -52,6 +53,22 @@ def from_objects(spark: SparkSession, inputs: Iterable[dict]) -> DataFrame:
     return spark.createDataFrame(rows, INPUTS)
 
 
+def graph_of(node_id: str, graph: dict | None, first_seq: int) -> list[tuple]:
+    """Half-edges (graph.EDGES) that a node's graph bucket {to, from} holds, in its order."""
+    halves = [(side, e) for side in ("to", "from") for e in (graph or {}).get(side) or []]
+    return [(first_seq + k, node_id, side, e["id"], e.get("observedAt")) for k, (side, e) in enumerate(halves)]
+
+
+def tags_by(tagger, node: dict[str, Column], tags_json: Column) -> tuple[Column, Column]:
+    """The tags bucket and the terms that a tagger gives a node whose own bucket is
+    tags_json. A node without content gets neither; a bucket that isn't empty wins."""
+    own, none = tags_json != "{}", node["content_json"].isNull()
+    if not hasattr(tagger, "for_node"):
+        return tags_json, F.when(none, None).when(own, keywords_of(tags_json)).otherwise(tagger.keywords(node["content_text"]))
+    bucket = F.when(none | own, tags_json).otherwise(F.coalesce(tagger.for_node(node), F.lit("{}")))
+    return bucket, F.when(none, None).otherwise(tagger.terms_of(bucket))
+
+
 def keywords_of(tags_json: Column) -> Column:
     return F.from_json(F.get_json_object(tags_json, "$.keywords"), "array<string>")
 
@@ -61,14 +78,14 @@ def create(inputs: DataFrame, pool: str, now: int, first_seq: int, tagger) -> Da
     without keywords make a node that no search finds. Metadata may set either time."""
     meta = F.from_json("metadata_json", "map<string,string>")
     text = flatten_json(F.col("content_json"))
-    tagged = F.col("tags_json").isNotNull() & (F.col("tags_json") != "{}")
     ids = F.coalesce("id", generated_id(pool))
+    node = {c: F.col(c) for c in ("id", "pool", "content_json", "content_text")}
+    tags, terms = tags_by(tagger, node, F.col("tags_json"))
     return inputs.select(
         F.lit(pool).alias("pool"), ids.alias("id"), (F.col("n") + F.lit(first_seq)).alias("seq"), "content_json", text.alias("content_text"),
-        F.coalesce("tags_json", F.lit("{}")).alias("tags_json"), tagged.alias("tagged"), meta.alias("meta"),
+        F.coalesce("tags_json", F.lit("{}")).alias("tags_json"), meta.alias("meta"),
     ).select(
-        "pool", "id", "seq", "content_json", "content_text", "tags_json",
-        F.when(F.col("content_json").isNull(), None).when(F.col("tagged"), keywords_of(F.col("tags_json"))).otherwise(tagger.keywords(F.col("content_text"))).alias("keywords"),
+        "pool", "id", "seq", "content_json", "content_text", tags.alias("tags_json"), terms.alias("keywords"),
         F.coalesce(F.col("meta")["createdAt"].cast("bigint"), F.lit(now)).alias("created_at"),
         F.coalesce(F.col("meta")["updatedAt"].cast("bigint"), F.lit(now)).alias("updated_at"),
         F.map_filter(F.coalesce("meta", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("createdAt", "updatedAt")).alias("extra"),
@@ -119,8 +136,9 @@ def patch(nodes: DataFrame, patches: DataFrame, now: int, tagger) -> DataFrame:
                  F.when(F.col("p"), F.coalesce(given["createdAt"].cast("bigint"), F.col("created_at"))).otherwise(F.col("created_at")).alias("created_at"),
                  F.when(F.col("p"), F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"), merged.alias("extra"),
                  (F.coalesce(F.col("p"), F.lit(False)) & (has | F.col("p_tags").isNotNull())).alias("changed"))
-    fresh = F.when(F.col("content_json").isNull(), None).when(F.col("tags_json") == "{}", tagger.keywords(F.col("content_text"))).otherwise(keywords_of(F.col("tags_json")))
-    return j.withColumn("keywords", F.when(F.col("changed"), fresh).otherwise(F.col("keywords"))).select(*COLUMNS)
+    bucket, fresh = tags_by(tagger, {c: F.col(c) for c in ("id", "pool", "content_json", "content_text")}, F.col("tags_json"))
+    own = {"tags_json": bucket, "keywords": fresh}
+    return j.select(*[F.when(F.col("changed"), own[c]).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in COLUMNS])
 
 
 def with_ids(nodes: DataFrame, ids: DataFrame) -> DataFrame:

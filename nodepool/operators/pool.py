@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any
@@ -15,12 +16,14 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import numbered, written
 from . import graph as G
 from . import nodes as N
 from .engines import Bm25Engine, KeywordTagger
 
 WRITE_EVERY = 4
+#: Changes after which an index that was added to is made anew at the next search.
+REINDEX_EVERY = 16
 UNSET: Any = object()
 
 
@@ -39,11 +42,15 @@ class _Edges:
     def __init__(self, spark: SparkSession) -> None:
         self.log, self.next, self.changes = G.empty(spark), 0, 0
 
-    def append(self, rows: DataFrame, n: int) -> None:
-        self.log, self.next, self.changes = self.log.unionByName(rows), self.next + n, self.changes + 1
+    def set(self, log: DataFrame, n: int) -> None:
+        """The log after an operation that made n links."""
+        self.log, self.next, self.changes = log, self.next + n, self.changes + 1
         if self.changes % WRITE_EVERY == 0:
             self.log = written(self.log, "edges")
 
+    def append(self, rows: DataFrame, n: int) -> None:
+        self.set(self.log.unionByName(rows), n)
+
 
 class Pool:
     def __init__(self, spark: SparkSession, name: str, config: PoolConfig | None = None, edges: _Edges | None = None) -> None:
@@ -52,25 +59,55 @@ class Pool:
         self.spark, self.name, self.config = spark, name, config or PoolConfig()
         self.edges = edges or _Edges(spark)
         self.nodes, self._next, self._changes = N.empty(spark), 0, 0
+        #: all nodes that may ask or be linked: a memory puts those of its pools here
+        self.known: Callable[[], DataFrame] = lambda: self.nodes
+        self._index: Any = None
 
-    def _set(self, nodes: DataFrame) -> None:
+    def _set(self, nodes: DataFrame, added: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """The pool's new nodes; the index follows by what came and went, where it is kept."""
         self._changes += 1
         self.nodes = written(nodes, "nodes") if self._changes % WRITE_EVERY == 0 else nodes
+        if self._index is not None:
+            if gone is not None:
+                self._index = self._index.remove(gone)
+            if added is not None:
+                self._index = self._index.add(_terms(added))
+            if self._changes % REINDEX_EVERY == 0 or (added is None and gone is None):
+                self._index = None
+
+    @property
+    def index(self):
+        """The pool's index, made at the first search and kept from then on; None where the
+        engine has none."""
+        if self._index is None and hasattr(self.config.engine, "index"):
+            self._index = self.config.engine.index(_terms(self.nodes))
+        return self._index
 
     def _ids(self, ids: Iterable[str]) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
 
     # life of nodes
 
-    def create(self, content: Any = UNSET, id: str | None = None, tags: dict | None = None, metadata: dict | None = None) -> DataFrame:  # noqa: A002
-        given = {"id": id, "tags": tags, "metadata": metadata}
+    def create(self, content: Any = UNSET, id: str | None = None, tags: dict | None = None, metadata: dict | None = None, graph: dict | None = None) -> DataFrame:  # noqa: A002
+        given = {"id": id, "tags": tags, "metadata": metadata, "graph": graph}
         return self.create_many([given if content is UNSET else given | {"content": content}])
 
     def create_many(self, inputs: Iterable[dict]) -> DataFrame:
         """Adds a batch, or nothing of it: content that is missing, or an id that repeats
         within the batch or the pool, rejects it whole."""
         inputs = list(inputs)
-        return self.append(N.from_objects(self.spark, inputs), len(inputs))
+        linked = [k for k, i in enumerate(inputs) if i.get("graph")]
+        inputs = [i | {"id": str(uuid.uuid4())} if k in linked and not i.get("id") else i for k, i in enumerate(inputs)]
+        made = self.append(N.from_objects(self.spark, inputs), len(inputs))
+        for k in linked:
+            self._graph(inputs[k]["id"], inputs[k]["graph"])
+        return made
+
+    def _graph(self, node_id: str, graph: dict | None, replace: bool = False) -> None:
+        """Puts a graph bucket's edges into the log, in place of the node's own with replace."""
+        rows = N.graph_of(node_id, graph, self.edges.next)
+        log = self.edges.log.filter(F.col("owner") != node_id) if replace else self.edges.log
+        self.edges.set(log.unionByName(self.spark.createDataFrame(rows, G.EDGES)), len(rows))
 
     def append(self, inputs: DataFrame, count: int | None = None) -> DataFrame:
         """As create_many, for a DataFrame of node inputs (nodes.INPUTS); n sets their order."""
@@ -80,7 +117,7 @@ class Pool:
         twice = made.groupBy("id").count().filter("count > 1").select("id").unionByName(made.join(self.nodes, "id", "left_semi").select("id"))
         if bad := [r.id for r in twice.distinct().limit(5).collect()]:
             raise ValueError(f"ids that are already taken: {bad}")
-        self._set(self.nodes.unionByName(made))
+        self._set(self.nodes.unionByName(made), added=made)
         self._next += count
         return made
 
@@ -88,11 +125,18 @@ class Pool:
         return self.update_many([(id, patch)])
 
     def update_many(self, patches: Iterable[tuple[str, dict]]) -> DataFrame:
+        patches = list(patches)
         rows = N.patches_from(self.spark, patches)
         if bad := [r.id for r in rows.join(self.nodes, "id", "left_anti").limit(5).collect()]:
             raise KeyError(f"no such node: {bad}")
-        self._set(N.patch(self.nodes, rows, self.config.now(), self.config.tagger))
-        return N.with_ids(self.nodes, rows)
+        self._set(written(N.patch(self.nodes, rows, self.config.now(), self.config.tagger), "patched"), gone=rows, added=None)
+        changed = N.with_ids(self.nodes, rows)
+        if self._index is not None:
+            self._index = self._index.add(_terms(changed))
+        for node_id, patch in patches:
+            if "graph" in patch:
+                self._graph(node_id, patch["graph"], replace=True)
+        return changed
 
     def evict(self, which: Column | DataFrame | Iterable[str]) -> DataFrame:
         """Takes out nodes by a condition, or by ids (those not here are passed over), in the
@@ -106,7 +150,7 @@ class Pool:
             return gone
         if self.config.on_evict:
             self.config.on_evict(gone.orderBy("seq"), self)
-        self._set(N.without_ids(self.nodes, gone))
+        self._set(N.without_ids(self.nodes, gone), gone=gone)
         return gone.orderBy("seq")
 
     def evict_oldest(self, count: float) -> DataFrame:
@@ -116,11 +160,11 @@ class Pool:
         """Takes a node out without telling on_evict."""
         there = self.has(id)
         if there:
-            self._set(self.nodes.filter(F.col("id") != id))
+            self._set(self.nodes.filter(F.col("id") != id), gone=self._ids([id]))
         return there
 
     def clear(self) -> None:
-        self.nodes = N.empty(self.spark)
+        self.nodes, self._index = N.empty(self.spark), None
 
     # reading
 
@@ -144,17 +188,22 @@ class Pool:
 
     def rank_many(self, queries: DataFrame, limit: int = 10, min_score: float = 0.0, link: bool = True) -> DataFrame:
         """Ranked hits (query_id, rank, id, score, raw) of queries (query_id, text, and an
-        asker_id that may be null or missing). An asker is left out of its own results and,
-        with link, gets an edge to each of them."""
+        asker_id that may be null or missing; one that is no node counts as none). An asker
+        is left out of its own results and, with link, gets an edge to each of them; what has
+        expired of the edges of both is swept first."""
         if "asker_id" not in queries.columns:
             queries = queries.withColumn("asker_id", F.lit(None).cast("string"))
         asked = queries.select("query_id", F.lit(self.name).alias("pool"), self.config.tagger.query_terms(F.col("text")).alias("terms"))
         askers = queries.select("query_id", "asker_id").filter("asker_id IS NOT NULL")
-        own = self.nodes.select("pool", "id", F.col("keywords").alias("terms"))
+        if not askers.isEmpty():
+            askers = written(askers.join(self.known().select(F.col("id").alias("asker_id")).distinct(), "asker_id", "left_semi").select("query_id", "asker_id"), "askers")
+        own = _terms(self.nodes) if self.index is None else self.index
         found = written(self.config.engine.search(asked, own, limit, min_score, askers), "ranked").drop("pool")
         if link and not askers.isEmpty():
-            pairs = G.search_links(found, askers, self.config.now(), self.edges.next)
-            self.edges.append(G.links(pairs), found.count())
+            now, graph = self.config.now(), self.config.graph
+            touched = askers.select(F.col("asker_id").alias("id")).unionByName(found.join(askers, "query_id", "left_semi").select("id")).distinct()
+            pairs = G.search_links(found, askers, now, self.edges.next)
+            self.edges.set(graph.link(graph.sweep(self.edges.log, now, touched), pairs), found.count() + 1)
         return found
 
     def rank(self, query: str, limit: int = 10, min_score: float = 0.0, asker: str | None = None, link: bool = True) -> DataFrame:
@@ -175,7 +224,7 @@ class Pool:
         if not {from_id, to_id} <= ends:
             return False
         pair = self.spark.createDataFrame([(self.edges.next, from_id, to_id, observed_at)], "edge_seq bigint, from_id string, to_id string, observed_at bigint")
-        self.edges.append(G.links(pair), 1)
+        self.edges.set(self.config.graph.link(self.edges.log, pair), 1)
         return True
 
     def neighbors(self, id: str, existing: DataFrame | None = None) -> DataFrame:  # noqa: A002
@@ -208,7 +257,8 @@ class Memory:
         given stays as it is, or for a new pool is the memory's. A pool's engine stays."""
         name = self.default_pool if name is None else name
         if name not in self._pools:
-            self._pools[name] = Pool(self.spark, name, PoolConfig(**(self.config.__dict__ | options)), self.edges)
+            made = self._pools[name] = Pool(self.spark, name, PoolConfig(**(self.config.__dict__ | options)), self.edges)
+            made.known = self.nodes
         elif options:
             own = self._pools[name]
             own.config = PoolConfig(**(own.config.__dict__ | {k: v for k, v in options.items() if k != "engine"}))
@@ -266,10 +316,10 @@ class Memory:
 
     def rank(self, query: str, asker: str | None = None, **options: Any) -> DataFrame:
         """In the default pool; the asker may be of any pool, and counts only if it exists."""
-        return self.pool().rank(query, asker=asker if asker is not None and self.has(asker) else None, **options)
+        return self.pool().rank(query, asker=asker, **options)
 
     def search(self, query: str, asker: str | None = None, **options: Any) -> DataFrame:
-        return self.pool().search(query, asker=asker if asker is not None and self.has(asker) else None, **options)
+        return self.pool().search(query, asker=asker, **options)
 
     def link(self, from_id: str, to_id: str, observed_at: int | None = None) -> bool:
         return self.pool()._link(self.nodes(), from_id, to_id, observed_at)
@@ -286,9 +336,9 @@ class Memory:
         if gone.isEmpty():
             return gone
         moved, n = moved_nodes(gone, target, b._next, b.config.tagger), gone.count()
-        b._set(b.nodes.unionByName(moved))
+        b._set(b.nodes.unionByName(moved), added=moved)
         b._next += n
-        a._set(N.without_ids(a.nodes, gone))
+        a._set(N.without_ids(a.nodes, gone), gone=gone)
         return moved
 
     def to_json(self) -> dict:
@@ -307,8 +357,12 @@ class Memory:
 
 
 def moved_nodes(nodes: DataFrame, target: str, first_seq: int, tagger) -> DataFrame:
-    from pyspark.sql import Window
+    """The nodes as ones of another pool, from first_seq on in their order, tagged anew."""
+    rows = numbered(nodes, [F.col("seq"), F.col("pool"), F.col("id")], "__place", first_seq)
+    node = {"id": F.col("id"), "pool": F.lit(target), "content_json": F.col("content_json"), "content_text": F.col("content_text")}
+    tags, terms = N.tags_by(tagger, node, F.lit("{}"))
+    return rows.select(*[{"pool": F.lit(target), "seq": F.col("__place"), "tags_json": tags, "keywords": terms}.get(c, F.col(c)).alias(c) for c in N.COLUMNS])
+
 
-    place = F.row_number().over(Window.orderBy("seq")) - 1 + F.lit(first_seq)
-    tags = F.when(F.col("content_json").isNotNull(), tagger.keywords(F.col("content_text")))
-    return nodes.select(*[{"pool": F.lit(target), "seq": place.cast("bigint"), "tags_json": F.lit("{}"), "keywords": tags}.get(c, F.col(c)).alias(c) for c in N.COLUMNS])
+def _terms(nodes: DataFrame) -> DataFrame:
+    return nodes.select("pool", "id", F.col("keywords").alias("terms"))

@@ -9,16 +9,18 @@ from ..functions import text as X
 from ..functions.flatten import flatten
 from ..operators import bm25
 from ..operators.engines import Bm25Engine, CosineEngine, KeywordTagger
-from ..sources.shared import small
+from ..sources.shared import small, spread
 from . import sql as S
 
 TAGGER = KeywordTagger()
+#: Tables whose texts are worth all cores.
+TEXTS = ("documents", "conversations", "pages")
 QUERY = "thing ertions and the erbles that onings reing zzznowhere"
 PARAMS = bm25.Bm25Params(k1=1.6, b=0.75, inflection=0.4, slope=9.0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in TEXTS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str, pool="documents", tagger=TAGGER) -> DataFrame:
@@ -80,15 +82,15 @@ def q_tf(spark, sf_dir):
 
 
 def q_df(spark, sf_dir):
-    return bm25.build_index(documents(spark, sf_dir), keep=False).document_frequency()
+    return bm25.build_index(documents(spark, sf_dir)).document_frequency()
 
 
 def q_doclen(spark, sf_dir):
-    return bm25.build_index(documents(spark, sf_dir), keep=False).docs.select("pool", "id", "doc_len")
+    return bm25.build_index(documents(spark, sf_dir)).docs.select("pool", "id", "doc_len")
 
 
 def q_stats(spark, sf_dir):
-    return bm25.build_index(documents(spark, sf_dir, F.col("lang")), keep=False).stats()
+    return bm25.build_index(documents(spark, sf_dir, F.col("lang"))).stats()
 
 
 def q_idf(spark, sf_dir):

@@ -8,11 +8,13 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table is broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes a core below which a table is spread over all cores by a shuffle.
+SPREAD_BYTES = 32 << 20
 
 _own: dict[str, str] = {}
 
@@ -40,6 +42,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it is so small that its files may have fewer row groups than
+    there are cores; larger tables are read as their files are split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
+def remove(df: DataFrame) -> None:
+    """Removes a table that written() made; nothing may read it after."""
+    jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
+    """df with `name`: numbers from `first` on in the given order, which must be total. Rows are
+    sorted in range partitions, which are numbered apart and set off by their sizes; no
+    task sees all rows."""
+    from pyspark.sql import Window
+
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    rows = written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "sorted")
+    at, offsets = first, []
+    for r in sorted(rows.groupBy("__part").count().collect()):
+        offsets.append((r[0], at))
+        at += r[1]
+    base = rows.join(F.broadcast(df.sparkSession.createDataFrame(offsets, "__part int, __base bigint")), "__part")
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1 + F.col("__base")
+    return base.withColumn(name, nth.cast("bigint")).drop("__part", "__base")
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it is counted to have at most `most` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -59,12 +59,7 @@ def load_pool(pool, state: dict) -> None:
     pool.clear()
     made = N.create(N.from_objects(pool.spark, given), pool.name, pool.config.now(), 0, pool.config.tagger)
     pool.nodes, pool._next = written(made, "loaded"), len(given)
-    halves = [
-        (pool.edges.next + k, node["id"], side, e["id"], e.get("observedAt"))
-        for node in given
-        for side in ("to", "from")
-        for k, e in enumerate((node.get("graph") or {}).get(side) or [])
-    ]
+    halves = [h for node in given for h in N.graph_of(node["id"], node.get("graph"), pool.edges.next)]
     if halves:
         pool.edges.append(pool.spark.createDataFrame(halves, G.EDGES), max(h[0] for h in halves) - pool.edges.next + 1)
 
