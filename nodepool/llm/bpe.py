@@ -248,9 +248,10 @@ class Encoder:
     """Texts to token ids, with a cache of what stands between spaces.
 
     A space between two characters that aren't white space always begins a pre-token, so
-    such a text may be cut there and each piece be cut by the pattern once. Keys of the
-    cache: a piece, for the piece with a space before it; a piece and a space, for one at
-    the start of a text; two spaces and a pre-token, for texts with other white space."""
+    such a text may be cut there and each piece be cut by the pattern once. Pieces are cut,
+    hashed to 64 bits and looked up with array operations; only new ones become strings.
+    Keys of the cache: a piece's hash, which says whether a space stands before it or it
+    begins a text; two spaces and a pre-token, for texts with other white space."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = PATTERN, cache: int = CACHE) -> None:
         import regex
@@ -260,33 +261,19 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str | int, int] = {}
         self.ids, self.at, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.places, self.pending = 0, []
 
-    def _pieces(self, text: str) -> list[str]:
-        if not self.by_space or "  " in text or "\n " in text or " \n" in text:
-            return ["  " + t for t in self.find(text)]
-        pieces = text.split(" ")
-        pieces[0] += " "
-        return pieces
-
     def _place(self, words: list[str]) -> np.ndarray:
-        """Places in the cache of words; new ones get theirs at once, and are encoded by
-        learn(). -2 for a piece that is empty or has white space at an end."""
+        """Places in the cache of pre-tokens, after two spaces; new ones get theirs at once,
+        and are encoded by learn()."""
         index = self.index
         which = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
         missing = np.flatnonzero(which == -1).tolist()
         if missing:
             own = [words[i] for i in missing]
-            new = []
-            for key in dict.fromkeys(own):
-                core = key if key[:2] == "  " else key[:-1] if key[-1:] == " " else key
-                if core is not key or key[:2] != "  ":
-                    if not core or core[0].isspace() or core[-1].isspace():
-                        index[key] = -2
-                        continue
-                new.append(key)
+            new = list(dict.fromkeys(own))
             index.update(zip(new, range(self.places, self.places + len(new))))
             self.places += len(new)
             self.pending += new
@@ -329,13 +316,65 @@ class Encoder:
         ids, counts = zip(*(self.vocabulary.encode_many(words[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def probe(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which texts may be cut at spaces (no two white spaces together there, none at
+        either end), and where their pieces begin and end."""
+        space = flat == 32
+        white = space | (flat == 10)
+        bad = np.flatnonzero(white[:-1] & white[1:] & (space[:-1] | space[1:]))
+        row = np.searchsorted(at, bad, "right") - 1
+        lens = np.diff(at)
+        plain = (lens > 0) & self.by_space
+        plain[row[bad + 1 < at[row + 1]]] = False
+        full = np.flatnonzero(lens)
+        plain[full[space[at[full]] | space[at[full + 1] - 1]]] = False
+        inner = np.flatnonzero(space)
+        inner = inner[plain[np.searchsorted(at, inner, "right") - 1]]
+        heads = at[:-1][plain]
+        starts, ends = np.concatenate([heads, inner + 1]), np.concatenate([inner, at[1:][plain]])
+        starts.sort()
+        ends.sort()
+        return plain, starts, ends
+
+    def probe(self, flat: np.ndarray, at: np.ndarray, texts: Callable[[], list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Places in the cache of all texts' pieces, and how many each text has."""
-        pieces = [self._pieces(t) if t else [] for t in texts]
-        found = self._place([w for p in pieces for w in p]), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        plain, starts, ends = self._cut(flat, at)
+        which = np.zeros(0, np.int32)
+        n_words = np.zeros(len(at) - 1, np.int64)
+        if len(starts):
+            up, down = C._powers(len(flat))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)])])
+            first = np.zeros(len(flat) + 1, bool)
+            first[at[:-1][plain]] = True
+            h = C.mix64(C.mix64((total[ends] - total[starts]) * down[starts]) + ((ends - starts) << 1 | first[starts]).astype(np.uint64))
+            order = np.argsort(h)
+            new = np.append(True, np.diff(h[order]) != 0)
+            where = order[new]
+            names, of = h[where], np.empty(len(h), np.int64)
+            of[order] = np.cumsum(new) - 1
+            places = np.fromiter(map(self.index.get, names.tolist(), repeat(-1)), np.int32, len(names))
+            missing = np.flatnonzero(places == -1)
+            if len(missing):
+                data = flat.tobytes()
+                for i, key, s, e in zip(missing.tolist(), names[missing].tolist(), starts[where[missing]].tolist(), ends[where[missing]].tolist()):
+                    core = data[s:e].decode()
+                    if core[0].isspace() or core[-1].isspace():
+                        places[i] = self.index[key] = -2
+                        continue
+                    self.pending.append(core + " " if first[s] else core)
+                    places[i] = self.index[key] = self.places
+                    self.places += 1
+            which = places[of]
+            n_words = np.diff(np.searchsorted(starts, at))
+        rest = np.flatnonzero(~plain & (np.diff(at) > 0)).tolist()
+        if rest:
+            own, parts = texts(), np.split(which, np.cumsum(n_words)[:-1])
+            for i in rest:
+                parts[i] = self._place(["  " + t for t in self.find(own[i])])
+            which, n_words = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
         if len(self.pending) > PENDING:
             self.learn()
-        return found
+        return which, n_words
 
     def finish(self, probe: tuple, texts: Callable[[], list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, one after another, and how many each has."""
@@ -354,7 +393,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         self.forget()
-        probe = self.probe(texts)
+        probe = self.probe(*C.flat_text(pa.array(texts, pa.string())), lambda: texts)
         self.learn()
         return self.finish(probe, lambda: texts)
 
@@ -410,7 +449,7 @@ def encode(df: DataFrame, text: str = "text", vocab_path: str = DEFAULT_VOCAB, p
             for group in C.slices(whole, "text", GROUP_BYTES):
                 encoder.forget()
                 parts = list(C.slices(group, "text"))
-                probes = [encoder.probe(p.column(n).to_pylist()) for p in parts]
+                probes = [encoder.probe(*C.flat_text(p.column(n)), p.column(n).to_pylist) for p in parts]
                 encoder.learn()
                 for batch, probe in zip(parts, probes):
                     yield one(batch, batch.column(n), *encoder.finish(probe, batch.column(n).to_pylist), encoder)

@@ -162,7 +162,7 @@ def fingerprint(media: DataFrame, rec_id: str, audio: str, load: Callable | None
     """(rec_id, fingerprint, bands). audio is a column of WAV files, or of anything that
     load turns into one; the files are made and read a row at a time."""
     kind = media.schema[audio].dataType.simpleString()
-    rows = media.select(F.col(f"`{rec_id}`").cast("bigint").alias("rec_id"), F.col(f"`{audio}`").alias("audio"))
+    rows = media.select(F.col(f"`{rec_id}`").alias("rec_id"), F.col(f"`{audio}`").alias("audio"))
 
     def run(batches):
         for batch in batches:
@@ -174,7 +174,7 @@ def fingerprint(media: DataFrame, rec_id: str, audio: str, load: Callable | None
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))], names=["rec_id", "fingerprint", "bands"])
 
     assert load or kind == "binary", "audio is a column of WAV files"
-    return rows.mapInArrow(run, "rec_id bigint, fingerprint array<int>, bands array<bigint>")
+    return rows.mapInArrow(run, C.schema_of(rows, ["rec_id"], "fingerprint array<int>, bands array<bigint>"))
 
 
 def align(x: np.ndarray, y: np.ndarray) -> tuple[int, float, int]:
@@ -212,7 +212,7 @@ def aligned(pairs: DataFrame, max_error: float = MAX_ERROR, min_overlap: int = M
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.float64())], names=["a", "b", "offset", "bit_error"])
             yield out.filter(pa.array(ok))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, offset int, bit_error double")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, C.schema_of(pairs, ["a", "b"], "offset int, bit_error double"))
 
 
 def aligned_pairs(prints: DataFrame) -> DataFrame:
