@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import numbered
 
-#: Defaults of the graph, in one place to read.
-DEFAULTS = {"decay_ms": None}
 EDGES = "edge_seq bigint, owner string, direction string, other string, observed_at bigint"
 
 

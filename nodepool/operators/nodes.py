@@ -92,18 +92,19 @@ def create(inputs: DataFrame, pool: str, now: int, first_seq: int, tagger) -> Da
     )
 
 
-def from_table(df: DataFrame, pool: Column | str, node_id: Column, content: str, order: Column, tagger, now: int = 0) -> DataFrame:
+def from_table(df: DataFrame, pool: Column | str, node_id: Column, content: str, order: Column, tagger, now: int = 0, extra: Column | None = None) -> DataFrame:
     """Nodes from a typed table: content is one of its columns, flattened by its type.
-    seq is the value of order, which must be unique within a pool."""
+    seq is the value of order, which must be unique within a pool; extra is a map of metadata."""
+    tags, terms = tags_by(tagger, {c: F.col(c) for c in ("id", "pool", "content_json", "content_text")}, F.lit("{}"))
+    tagged = {"tags_json": tags, "keywords": terms}
     kind = df.schema[content].dataType
     text = F.when(F.col(content).isNotNull(), flatten(F.col(content), kind))
     as_json = F.to_json(F.col(content), {"ignoreNullFields": "false"}) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else F.to_json(F.array(F.col(content))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(content)))) - 2)
     return df.select(
         (F.lit(pool) if isinstance(pool, str) else pool).alias("pool"), node_id.cast("string").alias("id"), order.cast("bigint").alias("seq"),
-        F.when(F.col(content).isNotNull(), as_json).alias("content_json"), text.alias("content_text"), F.lit("{}").alias("tags_json"),
-        F.when(F.col(content).isNotNull(), tagger.keywords(text)).alias("keywords"), F.lit(now).cast("bigint").alias("created_at"),
-        F.lit(now).cast("bigint").alias("updated_at"), F.create_map().cast("map<string,string>").alias("extra"),
-    )
+        F.when(F.col(content).isNotNull(), as_json).alias("content_json"), text.alias("content_text"), F.lit(now).cast("bigint").alias("created_at"),
+        F.lit(now).cast("bigint").alias("updated_at"), (F.create_map() if extra is None else extra).cast("map<string,string>").alias("extra"),
+    ).select(*[tagged.get(c, F.col(c)).alias(c) for c in COLUMNS])
 
 
 PATCHES = "id string, has_content boolean, content_json string, tags_json string, metadata_json string"

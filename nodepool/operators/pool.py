@@ -114,13 +114,24 @@ class Pool:
         count = inputs.count() if count is None else count
         # random ids must be the same whenever they are read again
         made = written(N.create(inputs, self.name, self.config.now(), self._next, self.config.tagger), "created")
-        twice = made.groupBy("id").count().filter("count > 1").select("id").unionByName(made.join(self.nodes, "id", "left_semi").select("id"))
-        if bad := [r.id for r in twice.distinct().limit(5).collect()]:
+        if bad := [r.id for r in self.taken(made).limit(5).collect()]:
             raise ValueError(f"ids that are already taken: {bad}")
         self._set(self.nodes.unionByName(made), added=made)
         self._next += count
         return made
 
+    def taken(self, batch: DataFrame) -> DataFrame:
+        """(id) of a batch that stand in it more than once, or in the pool: what rejects it."""
+        twice = batch.groupBy("id").count().filter("count > 1").select("id")
+        return twice.unionByName(batch.join(self.nodes, "id", "left_semi").select("id")).distinct()
+
+    def adopt(self, nodes: DataFrame) -> Pool:
+        """Takes nodes that are made already (nodes.NODES, as from_table gives them) as the
+        pool's own, in place of what it holds. Their ids must differ."""
+        self.nodes, self._index = nodes.select(F.lit(self.name).alias("pool"), *N.COLUMNS[1:]), None
+        self._next = (self.nodes.agg(F.max("seq")).first()[0] or -1) + 1
+        return self
+
     def update(self, id: str, **patch: Any) -> DataFrame:  # noqa: A002
         return self.update_many([(id, patch)])
 
@@ -158,10 +169,14 @@ class Pool:
 
     def remove(self, id: str) -> bool:  # noqa: A002
         """Takes a node out without telling on_evict."""
-        there = self.has(id)
-        if there:
-            self._set(self.nodes.filter(F.col("id") != id), gone=self._ids([id]))
-        return there
+        return self.remove_many(self._ids([id])) > 0
+
+    def remove_many(self, ids: DataFrame) -> int:
+        """As remove, for all ids (id); gives how many nodes went."""
+        n = N.with_ids(self.nodes, ids).count()
+        if n:
+            self._set(N.without_ids(self.nodes, ids), gone=ids)
+        return n
 
     def clear(self) -> None:
         self.nodes, self._index = N.empty(self.spark), None
@@ -285,7 +300,13 @@ class Memory:
 
     def get(self, id: str):  # noqa: A002
         """The node of that id, from the first pool that has it."""
-        return self.nodes().filter(F.col("id") == id).orderBy("pool_seq").drop("pool_seq").first()
+        return self.get_many(self.spark.createDataFrame([(id,)], "id string")).first()
+
+    def get_many(self, ids: DataFrame) -> DataFrame:
+        """The nodes of ids (id), each from the first pool that has it."""
+        rows = N.with_ids(self.nodes(), ids)
+        first = rows.groupBy("id").agg(F.min_by(F.struct(*[c for c in N.COLUMNS if c != "id"]), "pool_seq").alias("n"))
+        return first.select("id", "n.*").select(*N.COLUMNS)
 
     def has(self, id: str) -> bool:  # noqa: A002
         return not self.nodes().filter(F.col("id") == id).isEmpty()

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.flatten import flatten
+from ..functions.flatten import flatten, flatten_json
 from ..operators import bm25
+from ..operators import nodes as N
 from ..operators.engines import Bm25Engine, CosineEngine, KeywordTagger
+from ..operators.pool import Pool, PoolConfig
 from ..sources.shared import small, spread
 from . import sql as S
 
@@ -173,10 +175,9 @@ def q_merge(spark, sf_dir):
 
 def q_structural(spark, sf_dir):
     """Nodes without content are there but neither counted nor found."""
-    null = F.when(F.col("source") == "src0", None).otherwise(F.col("text"))
-    nodes = table(spark, sf_dir, "documents").select(F.lit("documents").alias("pool"), F.col("doc_id").cast("string").alias("id"), F.when(null.isNotNull(), TAGGER.keywords(null)).alias("terms"))
-    found = bm25.score(asked(spark, [("q", "documents", QUERY)]), bm25.build_index(nodes))
-    return rounded(bm25.top_one_query(found), "id")
+    docs = table(spark, sf_dir, "documents").withColumn("content", F.when(F.col("source") != "src0", F.col("text")))
+    pool = Pool(spark, "documents").adopt(N.from_table(docs, "documents", F.col("doc_id"), "content", F.col("doc_id"), TAGGER))
+    return rounded(pool.rank_many(one_query(spark)), "id")
 
 
 def q_vector(spark, sf_dir):
@@ -188,11 +189,61 @@ def q_vector(spark, sf_dir):
     return found.select("query_id", "rank", "id", F.round("score", 5).alias("score"))
 
 
+class FieldTagger:
+    """Tags a node with two fields of its content, and finds it by them."""
+
+    distinct = True
+
+    def for_node(self, node):
+        value = lambda k: F.get_json_object(node["content_json"], f"$.{k}")
+        return F.to_json(F.struct(F.array(value("lang"), value("source")).alias("fields")))
+
+    def terms_of(self, tags_json):
+        return F.from_json(F.get_json_object(tags_json, "$.fields"), "array<string>")
+
+    def query_terms(self, text):
+        return F.split(text, " ")
+
+
 def q_custom_tagger(spark, sf_dir):
     """Another tagger: terms are the language and source of a document, from its tags."""
-    nodes = table(spark, sf_dir, "documents").select(F.lit("d").alias("pool"), F.col("doc_id").cast("string").alias("id"), F.array("lang", "source").alias("terms"))
-    queries = spark.createDataFrame([("q", "d", ["fr", "src5"])], "query_id string, pool string, terms array<string>")
-    return rounded(Bm25Engine(distinct=False).search(queries, nodes, 10), "rank", "id")
+    docs = table(spark, sf_dir, "documents").withColumn("content", F.struct("lang", "source", "text"))
+    nodes = N.from_table(docs, "d", F.col("doc_id"), "content", F.col("doc_id"), FieldTagger())
+    pool = Pool(spark, "d", PoolConfig(tagger=FieldTagger())).adopt(nodes)
+    return rounded(pool.rank_many(spark.createDataFrame([("q", "fr src5")], "query_id string, text string")), "rank", "id")
+
+
+def one_query(spark):
+    return spark.createDataFrame([("q", QUERY)], "query_id string, text string")
+
+
+def _pool_of_documents(spark, sf_dir, **config):
+    docs = table(spark, sf_dir, "documents")
+    return Pool(spark, "documents", PoolConfig(**config)).adopt(N.from_table(docs, "documents", F.col("doc_id"), "text", F.col("doc_id"), TAGGER))
+
+
+def q_pool_rank(spark, sf_dir):
+    """A pool's own search: the asker is left out, one that is no node counts as none."""
+    pool = _pool_of_documents(spark, sf_dir, now=lambda: 5)
+    asks = spark.createDataFrame([("known", QUERY, "7"), ("stranger", QUERY, "nobody"), ("none", QUERY, None)], "query_id string, text string, asker_id string")
+    found = pool.rank_many(asks, 50)
+    edges = pool.edges.log.groupBy(F.col("other").alias("id")).agg(F.count("*").alias("n_edges"))
+    return rounded(found.join(edges, "id", "left").fillna(0, "n_edges"), "query_id", "rank", "id", "n_edges")
+
+
+def q_index_upkeep(spark, sf_dir):
+    """An index that a search made, and that follows what is added, changed and taken out."""
+    docs = N.from_table(table(spark, sf_dir, "documents"), "documents", F.col("doc_id"), "text", F.col("doc_id"), TAGGER)
+    first = docs.filter("seq % 3 <> 0")
+    index = Bm25Engine(distinct=True).index(first.select("pool", "id", F.col("keywords").alias("terms")))
+    index = index.add(docs.filter("seq % 3 = 0").select("pool", "id", F.col("keywords").alias("terms"))).remove(docs.filter("seq % 5 = 0").select("id"))
+    found = Bm25Engine(distinct=True).search(asked(spark, [("q", "documents", QUERY)]), index, 20)
+    return rounded(found, "rank", "id").withColumn("n_docs", F.lit(index.size).cast("bigint"))
+
+
+def q_raw_json(spark, sf_dir):
+    """Content that is JSON text: flattened by its own order of keys, numbers as JavaScript writes them."""
+    return table(spark, sf_dir, "events").select("event_id", flatten_json(F.concat(F.lit('{"type":"'), "event_type", F.lit('","list":[1,2.0,null,{"z":true}],"n":'), F.col("event_id").cast("string"), F.lit("}"))).alias("content_text"))
 
 
 _ALL_STEMS = f"SELECT lang AS pool, CAST(doc_id AS VARCHAR) AS id, {S.stem('w')} AS term FROM (SELECT lang, doc_id, unnest({S.tokens('text')}) AS w FROM documents) x WHERE length(w) >= 3 AND w NOT IN ({S.STOP})"
@@ -203,10 +254,16 @@ _DOT = "list_inner_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
 
 QUERIES = {f.__name__: f for f in (
     q_tokens, q_stem, q_keywords, q_keyword_options, q_flatten, q_tf, q_df, q_doclen, q_stats, q_idf, q_rank, q_rank_raw, q_rank_params, q_minscore,
-    q_no_match, q_search, q_rank_batch, q_exclude_asker, q_pools, q_merge, q_structural, q_vector, q_custom_tagger,
+    q_no_match, q_search, q_rank_batch, q_exclude_asker, q_pools, q_merge, q_structural, q_vector, q_custom_tagger, q_pool_rank, q_index_upkeep, q_raw_json,
 )}
 
+_ASKS = "queries AS (SELECT * FROM (VALUES " + ", ".join(f"('{q}', 'documents', '{QUERY}')" for q in ("known", "stranger", "none")) + ") v(query_id, pool, text))"
+_UPKEEP = "nodes AS (SELECT 'documents' AS pool, CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE doc_id % 5 <> 0)"
+
 ORACLE_SQL = {
+    "q_pool_rank": f"WITH {NODES}, {_ASKS}, {S.scored('nodes', 'queries')}, {S.ranked("NOT (query_id = 'known' AND id = '7')", 50)} SELECT query_id, rank, id, CAST(CASE WHEN id IN (SELECT id FROM ranked WHERE query_id = 'known') THEN 1 ELSE 0 END AS BIGINT) AS n_edges, {OUT} FROM ranked",
+    "q_index_upkeep": f"WITH {_UPKEEP}, {ONE}, {S.scored('nodes', 'queries')}, {S.ranked('TRUE', 20)} SELECT rank, id, {OUT}, (SELECT count(*) FROM lens) AS n_docs FROM ranked",
+    "q_raw_json": "SELECT event_id, event_type || ' 1 2  true ' || event_id AS content_text FROM events",
     "q_tokens": f"SELECT doc_id, CAST(len({S.tokens('text')}) AS BIGINT) AS n_tokens, array_to_string({S.tokens('text')}, ' ') AS tokens FROM documents",
     "q_stem": f"SELECT token, {S.stem('token')} AS stem FROM (SELECT DISTINCT unnest({S.tokens('text')}) AS token FROM documents) x",
     "q_keywords": f"WITH {DOC} SELECT d.doc_id, CAST(count(term) AS BIGINT) AS n_terms, coalesce(string_agg(term, ' ' ORDER BY pos), '') AS keywords FROM documents d LEFT JOIN dt USING (doc_id) GROUP BY d.doc_id",

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from ..operators.engines import Bm25Engine
-from .documents import NODES, QUERY, TAGGER, asked, documents, table
+from .documents import NODES, table
+from .documents import _pool_of_documents as pool_of_documents
 from . import sql as S
 
 DAY = 86_400_000
@@ -57,18 +57,44 @@ def q_dangling(spark, sf_dir):
 
 
 def q_search_edges(spark, sf_dir):
-    """Half-edges that searches write: two askers, their hits, both halves each."""
-    rows = [("a", "documents", QUERY), ("b", "documents", "thing thble")]
-    found = Bm25Engine(distinct=True).search(asked(spark, rows), documents(spark, sf_dir), 5)
-    askers = spark.createDataFrame([("a", "asker-a"), ("b", "asker-b")], "query_id string, asker_id string")
-    return G.links(G.search_links(found, askers, NOW, 0))
+    """Half-edges that a pool's searches write: every benchmark item asks for the document
+    of its number, and is linked to its five hits, both halves each."""
+    pool = pool_of_documents(spark, sf_dir, now=lambda: NOW)
+    pool.rank_many(table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text", F.col("item_id").cast("string").alias("asker_id")), 5)
+    return pool.edges.log
+
+
+def q_sweep(spark, sf_dir):
+    """The log after a sweep of the edges that customers own; those of others stay as they are."""
+    return G.DecayGraph(DECAY).sweep(log(spark, sf_dir), NOW, _customers(spark, sf_dir))
+
+
+class CountingGraph:
+    """A graph of another kind: it keeps links without their times, and lists the most linked first."""
+
+    def link(self, log, links):
+        return log.unionByName(G.links(links).withColumn("observed_at", F.lit(None).cast("bigint")))
+
+    def sweep(self, log, now, owners=None):
+        return log
+
+    def neighbors(self, log, now, nodes=None):
+        n = log.groupBy("owner", F.col("other").alias("id")).agg(F.count("*").alias("n"))
+        order = Window.partitionBy("owner").orderBy(F.desc("n"), "id")
+        return n.select(F.col("owner").alias("node_id"), F.row_number().over(order).alias("ord"), "id", F.lit(None).cast("bigint").alias("observed_at"), F.col("n").cast("string").alias("direction"))
+
+
+def q_custom_graph(spark, sf_dir):
+    """A graph hook of one's own, by which a pool writes and reads its edges."""
+    graph = CountingGraph()
+    return graph.neighbors(graph.link(G.empty(spark), pairs(spark, sf_dir)), NOW)
 
 
 def q_edge_lifetimes(spark, sf_dir):
     return G.lifetimes(log(spark, sf_dir), DECAY)
 
 
-QUERIES = {f.__name__: f for f in (q_link, q_edge_compact, q_decay, q_neighbors, q_dangling, q_search_edges, q_edge_lifetimes)}
+QUERIES = {f.__name__: f for f in (q_link, q_edge_compact, q_decay, q_neighbors, q_dangling, q_search_edges, q_edge_lifetimes, q_sweep, q_custom_graph)}
 
 _PAIRS = """e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms FROM events),
 nx AS (SELECT *, lead(user_id) OVER (PARTITION BY ms // 3600000 ORDER BY ms, event_id) AS next_id FROM e),
@@ -91,8 +117,15 @@ SELECT f.first_seq AS edge_seq, t.owner, t.direction, t.other, t.observed_at FRO
 a AS (SELECT owner AS node_id, count(*) AS n FROM state WHERE other IN (SELECT id FROM c) GROUP BY owner),
 b AS (SELECT from_id AS node_id, count(*) AS n_links FROM pairs WHERE from_id IN (SELECT id FROM c) AND to_id IN (SELECT id FROM c) GROUP BY from_id)
 SELECT a.node_id, a.n, coalesce(b.n_links, 0) AS n_links FROM a LEFT JOIN b USING (node_id)""",
-    "q_search_edges": f"""WITH {NODES}, queries AS (SELECT * FROM (VALUES ('a', 'documents', '{QUERY}'), ('b', 'documents', 'thing thble')) v(query_id, pool, text)), {S.scored('nodes', 'queries')}, {S.ranked('TRUE', 5)},
-p AS (SELECT row_number() OVER (ORDER BY query_id, rank) AS edge_seq, 'asker-' || query_id AS from_id, id AS to_id FROM ranked)
+    "q_sweep": f"""WITH {_PAIRS}, {_GAPS}, lasts AS (SELECT owner, direction, other, max(life) AS life FROM spans GROUP BY owner, direction, other),
+firsts AS (SELECT s.owner, s.direction, s.other, min(s.edge_seq) AS first_seq FROM spans s JOIN lasts l ON s.owner = l.owner AND s.direction = l.direction AND s.other = l.other AND s.life = l.life GROUP BY s.owner, s.direction, s.other),
+c AS (SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_acctbal > 0)
+SELECT f.first_seq AS edge_seq, t.owner, t.direction, t.other, t.observed_at FROM state t JOIN firsts f ON t.owner = f.owner AND t.direction = f.direction AND t.other = f.other WHERE t.owner IN (SELECT id FROM c) AND (t.observed_at IS NULL OR {NOW} - t.observed_at <= {DECAY})
+UNION ALL SELECT edge_seq, owner, direction, other, observed_at FROM log WHERE owner NOT IN (SELECT id FROM c)""",
+    "q_custom_graph": f"""WITH {_PAIRS}, n AS (SELECT owner, other, count(*) AS n FROM log GROUP BY owner, other)
+SELECT owner AS node_id, CAST(row_number() OVER (PARTITION BY owner ORDER BY n DESC, other) AS INT) AS ord, other AS id, CAST(NULL AS BIGINT) AS observed_at, CAST(n AS VARCHAR) AS direction FROM n""",
+    "q_search_edges": f"""WITH {NODES}, queries AS (SELECT CAST(item_id AS VARCHAR) AS query_id, 'documents' AS pool, text FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents)), {S.scored('nodes', 'queries')}, {S.ranked('id <> query_id', 5)},
+p AS (SELECT row_number() OVER (ORDER BY query_id, rank) AS edge_seq, query_id AS from_id, id AS to_id FROM ranked)
 SELECT edge_seq, from_id AS owner, 'to' AS direction, to_id AS other, CAST({NOW} AS BIGINT) AS observed_at FROM p UNION ALL SELECT edge_seq, to_id, 'from', from_id, CAST({NOW} AS BIGINT) FROM p""",
     "q_edge_lifetimes": f"""WITH {_PAIRS}, t AS (SELECT *, CASE WHEN observed_at - lag(observed_at) OVER (PARTITION BY owner, direction, other ORDER BY observed_at, edge_seq) <= {DECAY} THEN 0 ELSE 1 END AS fresh FROM log WHERE observed_at IS NOT NULL),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY owner, direction, other ORDER BY observed_at, edge_seq) AS span FROM t)

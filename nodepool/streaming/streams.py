@@ -48,7 +48,7 @@ class WindowState(StatefulProcessor):
         held.sort(key=lambda r: r[0])
         gone, held = held[: -self.size or None] if len(held) > self.size else [], held[-self.size :]
         self.turns.put([(int(t), x) for t, x in held])
-        yield pd.DataFrame({"conv_id": [key[0]] * len(gone), "turn": [int(t) for t, _ in gone], "text": [x for _, x in gone]}, columns=["conv_id", "turn", "text"]).astype({"conv_id": "int64", "turn": "int64"})
+        yield pd.DataFrame({"conv_id": [key[0]] * len(gone), "turn": [int(t) for t, _ in gone], "text": [x for _, x in gone]}, columns=["conv_id", "turn", "text"]).astype({"conv_id": "int64", "turn": "int64", "text": object})
 
     def close(self) -> None:
         pass
