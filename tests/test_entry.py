@@ -43,8 +43,25 @@ def test_against_sql(spark, name):
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
 
 
-def test_rank_plan_reads_only_what_it_needs(spark):
+def test_rank_plan_reads_only_what_it_needs(spark, monkeypatch):
     from nodepool.plans import documents
+    from nodepool.sources import shared
 
+    monkeypatch.setattr(shared, "SPREAD_BYTES", 0)  # as for tables that aren't small
     plan = documents.documents(spark, str(SF))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Exchange" not in plan and "Python" not in plan
+
+
+def test_small_tables_use_all_cores(spark):
+    from nodepool.sources import shared
+
+    assert shared.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_numbers_follow_the_order(spark):
+    from pyspark.sql import functions as F
+
+    from nodepool.sources import shared
+
+    rows = shared.numbered(spark.range(1000).withColumn("k", F.col("id") % 7), [F.desc("k"), F.col("id")], "n", 5).collect()
+    assert [r.n for r in sorted(rows, key=lambda r: (-r.k, r.id))] == list(range(5, 1005))

@@ -165,3 +165,83 @@ def test_snapshot_tables(spark, tmp_path, pool):
     snapshot.write_lines(pool.nodes, pool.edges.log, str(tmp_path / "lines"))
     lines = snapshot.read_lines(spark, str(tmp_path / "lines"), pool.config.tagger)
     assert {(r["pool"], r.id, r.content_json, tuple(r.keywords or ())) for r in lines.collect()} == {(r["pool"], r.id, r.content_json, tuple(r.keywords or ())) for r in pool.nodes.collect()}
+
+
+class Fields:
+    """A tagger that sees the node and writes a bucket of its own."""
+
+    distinct = True
+
+    def for_node(self, node):
+        return F.to_json(F.struct(F.array(F.get_json_object(node["content_json"], "$.kind"), F.col("pool")).alias("fields")))
+
+    def terms_of(self, tags_json):
+        return F.from_json(F.get_json_object(tags_json, "$.fields"), "array<string>")
+
+    def query_terms(self, text):
+        return F.split(text, " ")
+
+
+def test_tagger_sees_the_node(spark):
+    p = Pool(spark, "zoo", PoolConfig(tagger=Fields()))
+    p.create_many([{"id": "a", "content": {"kind": "cat"}}, {"id": "b", "content": {"kind": "dog"}}, {"id": "c", "content": {"kind": "cat"}, "tags": {"fields": ["bird"]}}, {"id": "d", "content": None}])
+    assert ids(p.search("cat")) == ["a"] and ids(p.search("bird")) == ["c"] and json.loads(p.get("b").tags_json) == {"fields": ["dog", "zoo"]} and p.get("d").keywords is None
+    p.update("a", content={"kind": "fish"})
+    assert ids(p.search("fish")) == ["a"] and ids(p.search("cat")) == []
+
+
+def test_graph_hook_writes_sweeps_and_reads(spark):
+    seen = []
+
+    class Graph(DecayGraph):
+        def link(self, log, pairs):
+            seen.append(("link", pairs.count()))
+            return super().link(log, pairs.withColumn("observed_at", F.lit(77).cast("bigint")))
+
+        def sweep(self, log, now, owners=None):
+            seen.append(("sweep", sorted(r.id for r in owners.collect())))
+            return super().sweep(log, now, owners)
+
+    p = Pool(spark, "p", PoolConfig(now=Clock(), graph=Graph()))
+    p.create_many([{"id": x, "content": f"budget {x}"} for x in "abc"])
+    assert p.link("a", "b") and seen == [("link", 1)]
+    p.rank("budget", asker="a")
+    assert seen[1:] == [("sweep", ["a", "b", "c"]), ("link", 2)] and {(r.id, r.observed_at) for r in p.neighbors("a").collect()} == {("b", 77), ("c", 77)}
+    seen.clear()
+    assert {r.id for r in p.rank("budget", asker="nobody").collect()} == {"a", "b", "c"} and seen == []
+
+
+def test_graph_bucket_of_a_node(spark):
+    p = Pool(spark, "p", PoolConfig(now=Clock()))
+    p.create_many([{"id": "a", "content": "x", "graph": {"to": [{"id": "b", "observedAt": 3}, {"id": "c"}], "from": [{"id": "d"}]}}, {"id": "b", "content": "y"}])
+    assert [(r.id, r.direction, r.observed_at) for r in p.neighbors("a").collect()] == [("b", "to", 3), ("c", "to", None), ("d", "from", None)]
+    p.update("a", graph={"to": [{"id": "z"}]})
+    assert [(r.id, r.direction) for r in p.neighbors("a").collect()] == [("z", "to")]
+    p.update("a", content="w")
+    assert p.neighbors("a").count() == 1 and p.create("v", graph={"to": [{"id": "a"}]}).count() == 1
+
+
+def test_sweep_keeps_what_is_alive(spark):
+    from nodepool.operators import graph as G
+
+    log = spark.createDataFrame([(1, "a", "to", "b", 0), (2, "a", "to", "c", 90), (3, "x", "to", "b", 0), (4, "a", "to", "b", 5), (5, "a", "to", "d", None), (6, "a", "to", "d", 1)], G.EDGES)
+    graph = DecayGraph(50)
+    got = graph.sweep(log, 100, spark.createDataFrame([("a",)], "id string"))
+    assert sorted((r.owner, r.other, r.edge_seq) for r in got.collect()) == [("a", "c", 2), ("a", "d", 5), ("x", "b", 3)]
+    many = spark.range(3000).selectExpr("id AS edge_seq", "'h' AS owner", "'to' AS direction", "'i' AS other", "id * 10 AS observed_at")
+    assert [(r.edge_seq, r.observed_at) for r in graph.current(many, 30_000).collect()] == [(0, 29_990)]
+
+
+def test_memory_in_batches(spark):
+    m = Memory(spark, "main")
+    m.create_many([{"id": x, "content": x} for x in "abc"])
+    m.pool("docs").create("copy", id="a")
+    asked = spark.createDataFrame([("a",), ("c",), ("nobody",)], "id string")
+    assert sorted((r.id, r["pool"]) for r in m.get_many(asked).collect()) == [("a", "main"), ("c", "main")]
+    assert m.pool("main").remove_many(asked) == 2 and m.pool("main").ids() == ["b"] and m.get("a").pool == "docs"
+
+
+def test_exports():
+    import nodepool
+
+    assert all(hasattr(nodepool, n) for n in nodepool.__all__) and nodepool.DEFAULTS["bm25"].k1 == 1.2

@@ -76,3 +76,21 @@ def test_stream_of_lifetimes_is_as_the_batch(spark):
     df = spark.sql("SELECT 'a' AS owner, 'b' AS other, timestamp_seconds(s) AS ts FROM VALUES (0), (10), (21) AS v(s)")
     got = streams.edge_lifetimes(df, "10 seconds", "1 minute").selectExpr("unix_seconds(began) AS b", "unix_seconds(ended) AS e", "n").collect()
     assert sorted((r.b, r.e, r.n) for r in got) == [(0, 20, 2), (21, 31, 1)]
+
+
+def test_transcript_replay(spark):
+    planted = [(1, "which licence covers the widget kit", "The permissive one."), (40, "never reached", "x")]
+    turns = C.transcript(planted, [(f"filler question {k}", f"filler answer {k}") for k in range(4)], 5)
+    assert [u for u, _ in turns] == ["filler question 0", planted[0][1], "filler question 1", "filler question 2", "filler question 3"]
+    try:
+        C.transcript(planted, [("q", "a")], 5)
+        raise AssertionError
+    except ValueError:
+        pass
+    s = C.ChatSession(spark, window=2)
+    for user, assistant in turns[:4]:
+        s.send(user, scripted=assistant)
+    alone, whole = s.window_only_prompt("what licence has the widget kit"), s.send("what licence has the widget kit")
+    assert "permissive" not in alone and "[recalled" not in alone and "turn" and whole["recalled"][0] == "turn-1" and "permissive" in whole["prompt"]
+    rows = C.replay(spark.createDataFrame([(1, t) for t in range(5)], "conv_id bigint, turn bigint"), 2).collect()
+    assert [(r.active, r.recall, r.left) for r in sorted(rows, key=lambda r: r.turn)] == [(1, 0, None), (2, 0, None), (2, 1, 0), (2, 2, 1), (2, 3, 2)]
