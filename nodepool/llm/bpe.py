@@ -40,6 +40,8 @@ PENDING = 400_000
 #: Bytes of new words in the linked list at a time.
 QUEUE_BYTES = 2 << 20
 NONE = np.int32(2**31 - 1)
+#: Bytes up to which words may be encoded in step.
+SHORT = 32
 MADE = ["token_ids", "n_tokens", "n_bytes", "round_trip"]
 
 
@@ -96,8 +98,7 @@ class Vocabulary:
                 if left is not None and right is not None:
                     pairs[left * self.size + right] = rank
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.keys.tolist()] + [NONE], np.int32)
+        self._table(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32))
         by_id = [b""] * self.size
         for token, rank in ranks.items():
             by_id[rank] = token
@@ -105,11 +106,38 @@ class Vocabulary:
         self.token_at = np.concatenate([[0], np.cumsum(self.token_len)])[:-1]
         self.token_bytes = np.frombuffer(b"".join(by_id), np.uint8)
 
+    def _table(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """Open addressing: a key stands in the first free slot from its own on."""
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.merged = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            free, first = np.unique(slot, return_index=True)
+            first = first[self.keys[free] == -1]
+            self.keys[slot[first]], self.merged[slot[first]] = keys[first], ranks[first]
+            left = self.keys[slot] != keys
+            keys, ranks, slot = keys[left], ranks[left], (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.size + right
-        i = np.searchsorted(self.keys, key)
-        i[i == len(self.keys)] = 0
-        return np.where(self.keys[i] == key, self.merged[i], NONE)
+        slot = self._slot(key)
+        got, out = self.keys[slot], self.merged[slot]
+        wrong = np.flatnonzero(got != key)
+        out[wrong] = NONE
+        on = wrong[got[wrong] != -1]
+        slot = slot[on]
+        while len(on):
+            slot = (slot + 1) & self.mask
+            got = self.keys[slot]
+            hit = got == key[on]
+            out[on[hit]] = self.merged[slot[hit]]
+            go = ~hit & (got != -1)
+            on, slot = on[go], slot[go]
+        return out
 
     def encode_one(self, word: bytes) -> list[int]:
         """The plain form: entries one by one, leftmost first within a rank."""
@@ -227,6 +255,45 @@ class Vocabulary:
             ids = np.concatenate(parts)
         return ids, counts
 
+    def encode_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_many, for words that are short: those of one length are a matrix, of
+        which each step merges the first least pair of every row. The cost follows the
+        words, not the number of ranks, so few words are encoded fast as well."""
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        flat = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        at = np.cumsum(lens) - lens
+        counts = np.zeros(len(words), np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        for n in np.unique(lens[lens > 0]).tolist():
+            who = np.flatnonzero(lens == n)
+            tok = flat[at[who][:, None] + np.arange(n)]
+            rank = self.rank(tok[:, :-1].ravel(), tok[:, 1:].ravel()).reshape(len(who), n - 1)
+            while True:
+                if tok.shape[1] == 1:
+                    ends = np.ones(len(who), bool)
+                else:
+                    first = rank.argmin(1)
+                    low = rank[np.arange(len(who)), first]
+                    ends = low == NONE
+                if ends.any():
+                    counts[who[ends]] = tok.shape[1]
+                    done.append((np.repeat(who[ends], tok.shape[1]), tok[ends].ravel()))
+                    if ends.all():
+                        break
+                    go = ~ends
+                    who, tok, rank, first, low = who[go], tok[go], rank[go], first[go], low[go]
+                rows, wide = np.arange(len(who)), tok.shape[1] - 1
+                tok[rows, first] = low
+                tok = np.take_along_axis(tok, np.arange(wide) + (np.arange(wide) > first[:, None]), 1)
+                rank = np.take_along_axis(rank, np.arange(wide - 1) + (np.arange(wide - 1) >= first[:, None]), 1)
+                left, right = first > 0, first < wide - 1
+                rank[rows[left], first[left] - 1] = self.rank(tok[rows[left], first[left] - 1], tok[rows[left], first[left]])
+                rank[rows[right], first[right]] = self.rank(tok[rows[right], first[right]], tok[rows[right], first[right] + 1])
+        if not done:
+            return np.zeros(0, np.int32), counts
+        word, ids = (np.concatenate(x) for x in zip(*done))
+        return ids[np.argsort(word, kind="stable")].astype(np.int32), counts
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all token lists, one after another, and how many each has."""
         lens = self.token_len[ids]
@@ -253,10 +320,11 @@ class Encoder:
     Keys of the cache: a piece's hash, which says whether a space stands before it or it
     begins a text; two spaces and a pre-token, for texts with other white space."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str = PATTERN, cache: int = CACHE) -> None:
+    def __init__(self, vocabulary: Vocabulary, pattern: str = PATTERN, cache: int = CACHE, queue: bool = True) -> None:
+        """queue: every word goes through the rank queue; else only those over SHORT bytes."""
         import regex
 
-        self.vocabulary, self.find, self.most = vocabulary, regex.compile(pattern).findall, cache
+        self.vocabulary, self.find, self.most, self.queue = vocabulary, regex.compile(pattern).findall, cache, queue
         self.by_space = pattern == PATTERN
         self.clear()
 
@@ -311,6 +379,20 @@ class Encoder:
         self.ids = np.append(self.ids, gather(ids, at[each], lens))
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if self.queue:
+            return self._queued(words)
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        long = np.flatnonzero(lens > SHORT).tolist()
+        if not long:
+            return self.vocabulary.encode_short(words)
+        few = set(long)
+        ids, counts = self.vocabulary.encode_short([w for i, w in enumerate(words) if i not in few])
+        more, of_long = self._queued([words[i] for i in long])
+        order = np.argsort(np.append(np.flatnonzero(lens <= SHORT), long))
+        counts, begin = np.append(counts, of_long), np.append(np.cumsum(counts) - counts, len(ids) + np.cumsum(of_long) - of_long)
+        return gather(np.append(ids, more), begin[order], counts[order]), counts[order]
+
+    def _queued(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum([len(w) for w in words])
         cuts = [0, *np.searchsorted(ends, np.arange(QUEUE_BYTES, ends[-1], QUEUE_BYTES)).tolist(), len(words)]
         ids, counts = zip(*(self.vocabulary.encode_many(words[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b))
@@ -419,17 +501,17 @@ def same_bytes(decoded: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.
 _ready: dict[int, Encoder] = {}
 
 
-def _encoder(raw: bytes, pattern: str) -> Encoder:
-    key = hash((raw, pattern))
+def _encoder(raw: bytes, pattern: str, queue: bool = True) -> Encoder:
+    key = hash((raw, pattern, queue))
     if key not in _ready:
-        _ready[key] = Encoder(Vocabulary(raw), pattern)
+        _ready[key] = Encoder(Vocabulary(raw), pattern, queue=queue)
     return _ready[key]
 
 
-def encode(df: DataFrame, text: str = "text", vocab_path: str = DEFAULT_VOCAB, pattern: str = PATTERN, check: bool = True) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", vocab_path: str = DEFAULT_VOCAB, pattern: str = PATTERN, check: bool = True, queue: bool = True) -> DataFrame:
     """df with token_ids, n_tokens, n_bytes (of the UTF-8 text) and round_trip (whether
     decoding the ids gives the text's bytes again; null without check). Columns of those
-    names are replaced.
+    names are replaced. Without queue, short words are encoded in step (the ids are the same).
     One narrow pass; the vocabulary file is read on the driver and broadcast (its size
     is that of the file, whatever the data)."""
     with open(vocab_path, "rb") as f:
@@ -444,7 +526,7 @@ def encode(df: DataFrame, text: str = "text", vocab_path: str = DEFAULT_VOCAB, p
         return C.batch_of(batch, n, lists, pa.array(counts, pa.int32()), pa.array(np.diff(at), pa.int64()), good)
 
     def run(batches):
-        encoder = _encoder(shared.value, pattern)
+        encoder = _encoder(shared.value, pattern, queue)
         for whole in batches:
             for group in C.slices(whole, "text", GROUP_BYTES):
                 encoder.forget()

@@ -50,7 +50,7 @@ def tokenise(docs: DataFrame, text: str = "text", vocab_path: str = bpe.DEFAULT_
     The texts are ordered before they are encoded, so nothing is encoded twice."""
     parts = partitions or C.n_parts(docs.sparkSession)
     rows = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return bpe.encode(rows, text, vocab_path, check=False).drop(text, "round_trip")
+    return bpe.encode(rows, text, vocab_path, check=False, queue=False).drop(text, "round_trip")
 
 
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None, tokens: bool = True) -> DataFrame:

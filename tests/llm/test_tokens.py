@@ -1,6 +1,7 @@
 import base64
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -36,6 +37,18 @@ def test_encoder_against_tiktoken(vocabulary):
         at += n
 
 
+def test_words_in_step_as_by_the_queue(vocabulary):
+    v, reference = vocabulary
+    texts = list(samples())
+    ids, counts = bpe.Encoder(v, queue=False).encode(texts)
+    assert np.split(ids, np.cumsum(counts)[:-1])[5].tolist() == reference.encode_ordinary(texts[5])
+    want, n = bpe.Encoder(v).encode(texts)
+    assert ids.tolist() == want.tolist() and counts.tolist() == n.tolist()
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"abcdeilnorst \xc3\xa9") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    assert v.encode_short(words)[0].tolist() == v.encode_many(words)[0].tolist() and v.encode_short([b""])[1].tolist() == [0]
+
+
 def test_one_long_pre_token(vocabulary):
     v, reference = vocabulary
     rng = random.Random(1)
