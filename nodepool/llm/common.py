@@ -49,12 +49,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, row_group: int = 128 << 20) -> tuple[DataFrame, str]:
     """Cuts lineage: df as a Parquet table in the shared folder, and its path.
-    The table survives the loss of executors and is read column by column."""
+    The table survives the loss of executors and is read column by column, in tasks of
+    whole row groups (of row_group bytes)."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -257,7 +257,7 @@ def plain_pack(docs, window):
             free.discard(at)
             pieces.append((at, len(bags[at]) - rest[at], len(bags[at])))
             room -= rest[at]
-            query = sorted((t for t in set(bags[at]) if df[t] > 1), key=lambda t: (-weight(t, at), t))[: packing.QUERY_TERMS]
+            query = sorted((t for t in set(bags[at]) if df[t] > 1), key=lambda t: (-weight(t, at), t))
             score = {i: sum(weight(t, i) for t in query if t in bags[i]) for i in free}
             for i in sorted((i for i in free if score[i] > 0), key=lambda i: (-score[i], i)):
                 if rest[i] <= room:
