@@ -319,7 +319,7 @@ def test_packing_asks_all_shards(spark):
             docs.append((2 * i + j, " ".join(own + [f"rare{j}y{(i * 7 + j) % 150 // 2}", *rng.sample(WORDS, 6)])))
     for i in range(150):  # the twins' words aren't the rarest
         docs.append((1000 + i, " ".join(f"w{i}x{k}" for k in range(12))))
-    got = packing.pack_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), window=50, shard_words=300).collect()
+    got = packing.pack_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), window=50, shard_words=300, every=1).collect()
     assert sorted(d for r in got for d in r.doc_ids) == sorted(d for d, _ in docs)
     family_of = lambda d: d // 2 if d < 1000 else d - 1000
     pairs = [(r.doc_ids[0], d) for r in got for d in r.doc_ids[1:2]]
@@ -338,6 +338,52 @@ def test_packing_ranks_by_whole_texts(spark):
         assert near.get(0) == 1 or near.get(1) == 0
 
 
+def test_packing_queries_against_brute_force(spark, monkeypatch):
+    """Hits of the queries, one of ten documents, against all documents, in several rounds."""
+    monkeypatch.setattr(packing, "SEEDS", 7)
+    monkeypatch.setattr(packing, "HITS", 5)
+    rng = random.Random(15)
+    docs = [(i, text_of(rng, rng.choice([5, 20, 40]))) for i in range(199)]
+    docs += [(300 + i, docs[10 * i][1]) for i in range(3)]  # copies of queries tie
+    got = packing.pack_documents(spark.createDataFrame([*docs, (None, "lone word")], "doc_id bigint, text string"), window=64, shard_words=100, every=10).collect()
+    assert sorted((d for r in got for d in r.doc_ids), key=str) == sorted([*(d for d, _ in docs), None], key=str)
+    assert all(r.n_words == sum(b - a for a, b in zip(r.starts, r.ends)) <= 64 for r in got)
+    f, at = flat([*(t for _, t in docs), "lone word"])
+    terms, tf, begin, words = packing.doc_terms(f, at)
+    df, doc = np.bincount(terms), np.repeat(np.arange(len(words)), np.diff(np.append(begin, len(terms))[: len(words) + 1]))
+    weight = packing.weights(tf.astype(float), df[terms].astype(float), words[doc].astype(float), len(words), words.mean())
+    full = np.zeros((len(words), len(df)))
+    full[doc, terms] = weight
+    score = np.round((full > 0).astype(float) @ full.T, packing.PLACES)
+    used, windows = set(), {r.doc_ids[0]: r.doc_ids for r in got}
+    for q in (k for k, (d, _) in enumerate(docs) if d % 10 == 0):
+        if q in used or words[q] == 0:
+            continue
+        room = 64 - words[q]
+        best = sorted((k for k in range(len(docs)) if k != q and words[k] <= room and score[q, k] > 0), key=lambda k: (-score[q, k], docs[k][0]))[:5]
+        want = [q]
+        for k in best:
+            if k not in used and words[k] <= room:
+                want.append(k)
+                room -= words[k]
+        made = windows[docs[q][0]]
+        assert made[: len(want)] == [docs[k][0] for k in want]
+        where = {d: k for k, (d, _) in enumerate(docs)} | {None: len(docs)}
+        used |= {where[d] for d in made}
+
+
+def test_packing_searches_once_for_each_query(spark, monkeypatch):
+    """The work is queries times documents: as many searches as rounds of queries."""
+    rounds = []
+    written = packing.C.written
+    monkeypatch.setattr(packing.C, "written", lambda df, name, *more: rounds.append(name) or written(df, name, *more))
+    rng = random.Random(16)
+    docs = [(i, text_of(rng, 20)) for i in range(500)]
+    got = packing.pack_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), window=60, shard_words=100).collect()
+    assert sorted(d for r in got for d in r.doc_ids) == list(range(500))
+    assert rounds == ["terms", "counts", "found"]
+
+
 def test_packing_keeps_words_apart():
     words = [f"{a}{i}" for a in WORDS for i in range(4000)]
     names, terms, tf, begin, n = packing.hashed_terms(*flat([" ".join(words)]))
