@@ -13,7 +13,7 @@
    most MAX_ERROR, and the overlap at least MIN_OVERLAP positions.
 
 Every recording is a query. Candidates share a run of two successive different integers,
-silent positions left aside; all of them are compared, and every aligned pair is given.
+silent positions left aside; all of them are compared, and every link is counted; linked recordings are a class.
 
 Rows: a null, empty, broken or too short recording has an empty fingerprint and aligns
 with none; a recording without id has a fingerprint and is compared with none. Rows that
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import graph
 
 FRAME = 4096
 HOP = 1365
@@ -215,9 +216,10 @@ def aligned(pairs: DataFrame, max_error: float = MAX_ERROR, min_overlap: int = M
     return pairs.select("a", "b", "x", "y").mapInArrow(run, C.schema_of(pairs, ["a", "b"], "offset int, bit_error double"))
 
 
-def aligned_pairs(prints: DataFrame) -> DataFrame:
-    """(rec_id, match_id, offset, bit_error): for each recording every other one that it
-    aligns with, and its offset there; each pair stands in both directions."""
+def _links(prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pairs (a, b, offset, bit_error) of different fingerprints that align, in both
+    directions, and (a, a) of one that several recordings have; (doc_id, rec_id): whose
+    fingerprint each recording has; (doc_id, n): how many have it."""
     named = prints.filter("rec_id IS NOT NULL AND size(fingerprint) > 0")
     own, _path = C.written(named.groupBy("rec_id").agg(F.min_by(F.struct("fingerprint", "bands"), F.struct("fingerprint", "bands")).alias("f")).select("rec_id", "f.*"), "prints")
     # equal fingerprints are one in the search
@@ -231,11 +233,29 @@ def aligned_pairs(prints: DataFrame) -> DataFrame:
     right = some.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("y"))
     near, _path = C.written(aligned(pairs.join(left, "a").join(right, "b")), "pairs")
     both = near.unionByName(near.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("offset")).alias("offset"), "bit_error"))
+    return both, member, first.select("doc_id", "n")
+
+
+def aligned_pairs(prints: DataFrame) -> DataFrame:
+    """(rec_id, match_id, offset, bit_error): for each recording every other one that it
+    aligns with, and its offset there; each pair stands in both directions."""
+    both, member, _ = _links(prints)
     of_a = member.select(F.col("doc_id").alias("a"), F.col("rec_id").alias("match_id"))
     of_b = member.select(F.col("doc_id").alias("b"), "rec_id")
     return both.join(of_a, "a").join(of_b, "b").filter("rec_id <> match_id").select("rec_id", "match_id", "offset", "bit_error")
 
 
+def classes(prints: DataFrame) -> DataFrame:
+    """(rec_id, class_id, n_links): for each recording that aligns with others, how many they
+    are, and the least id of all that are linked with it, directly or by way of others. Links
+    are counted between different fingerprints, so copies aren't paired."""
+    both, member, size = _links(prints)
+    links = both.join(size.withColumnRenamed("doc_id", "b"), "b").groupBy("a").agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("n") - 1).otherwise(F.col("n"))).alias("n_links"))
+    group = graph.components(both.select("a", "b")).select(F.col("b").alias("doc_id"), F.col("a").alias("least"))
+    of = links.withColumnRenamed("a", "doc_id").join(group, "doc_id", "left").withColumn("class_id", F.coalesce("least", "doc_id"))
+    return member.join(of, "doc_id").select("rec_id", "class_id", "n_links")
+
+
 def recordings_alike(prints: DataFrame) -> DataFrame:
     """(rec_id, match_id, offset, bit_error): for each recording that aligns with lesser
     ones, the least of them."""
@@ -259,9 +279,9 @@ def melody(vector: list | None, rate: int = RATE) -> bytes | None:
 
 def op1_chroma_fingerprints(spark, sf_dir: str) -> DataFrame:
     """The fingerprint of every vector of embeddings played as a recording (there is no
-    table of recordings), with a row for each recording that it aligns with."""
+    table of recordings), the class it belongs to and how many recordings it aligns with."""
     media = C.read(spark, sf_dir, "embeddings").repartition(C.n_parts(spark) * 2)
     prints, _path = C.written(fingerprint(media, "vec_id", "embedding", melody), "prints")
-    found, _path = C.written(aligned_pairs(prints), "alike")
-    out = prints.withColumnRenamed("rec_id", "vec_id").drop("bands")
-    return out.join(C.sized(found.withColumnRenamed("rec_id", "vec_id")), "vec_id", "left")
+    found, _path = C.written(classes(prints), "alike")
+    out = prints.withColumnRenamed("rec_id", "vec_id").drop("bands").join(C.sized(found.withColumnRenamed("rec_id", "vec_id")), "vec_id", "left")
+    return out.withColumn("class_id", F.coalesce("class_id", "vec_id")).withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("bigint")))

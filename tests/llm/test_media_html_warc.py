@@ -89,6 +89,25 @@ def test_every_aligned_pair(spark):
     got = [((r.rec_id, r.match_id), (r.offset, r.bit_error)) for r in chroma.aligned_pairs(prints).collect()]
     assert len(got) == len(want) and dict(got) == want
     assert {(0, 5), (5, 6), (0, 2), (2, 0), (2, 1), (2, 3)} <= set(want)
+    near = {a: {b for x, b in want if x == a} for a in own}
+
+    def reach(a):
+        seen, new = {a}, {a}
+        while new := {b for x in new for b in near[x]} - seen:
+            seen |= new
+        return seen
+
+    got = {r.rec_id: (r.class_id, r.n_links) for r in chroma.classes(prints).collect()}
+    assert got == {a: (min(reach(a)), len(near[a])) for a in own if near[a]}
+
+
+def test_a_row_for_each_recording(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(40).tolist()
+    rows = [(i, base) for i in range(12)] + [(20, rng.standard_normal(40).tolist()), (21, None), (None, base)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = chroma.op1_chroma_fingerprints(spark, str(tmp_path)).collect()
+    assert sorted(((r.vec_id, r.class_id, r.n_links) for r in got), key=str) == sorted([*((i, 0, 11) for i in range(12)), (20, 20, 0), (21, 21, 0), (None, None, 0)], key=str)
 
 
 def test_no_recordings(spark):
