@@ -68,8 +68,8 @@ HELD_OUT = 5
 
 #: Stands for the documents or segments themselves.
 ALL = 0
-#: Rows that a worker holds before it adds up equal keys, and after which it gives them out.
-_HOLD, _GIVE = 2_000_000, 1_500_000
+#: Numbers (rows times columns) that a worker holds before it adds up equal keys, and after which it gives them out.
+_HOLD, _GIVE = 4_000_000, 3_000_000
 _signs, _leasts = [f"x{k}" for k in range(SIGNS)], [f"m{k}" for k in range(LEASTS)]
 _salts = C.mix64(np.arange(7, 7 + LEASTS, dtype=np.uint64))
 
@@ -151,6 +151,7 @@ def slices_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Slice, pa.Rec
     for whole in batches:
         for batch in C.slices(whole, "text"):
             yield Slice(batch.column(batch.schema.get_field_index("text"))), batch
+    C.trim()
 
 
 def _lowered(docs: DataFrame, *more: str | Column) -> DataFrame:
@@ -167,28 +168,34 @@ class Sums:
 
     def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append([c.astype(np.int64, copy=False) for c in columns])
-        self.held += len(columns[0])
+        self.held += len(columns[0]) * len(columns)
         if self.held > _HOLD:
             self._reduce()
             if self.held > _GIVE:
                 yield from self.out()
 
     def _reduce(self) -> None:
-        columns = [np.concatenate(c) for c in zip(*self.parts)]
-        order = np.lexsort(columns[: self.n_keys])
-        columns = [c[order] for c in columns]
+        """One column after another, so that the others aren't held twice."""
+        columns, self.parts = [list(c) for c in zip(*self.parts)], []
+        keys = [np.concatenate(c) for c in columns[: self.n_keys]]
+        order = np.lexsort(keys)
+        keys = [c[order] for c in keys]
         new = np.append(True, np.zeros(max(len(order) - 1, 0), bool))[: len(order)]
-        for k in columns[: self.n_keys]:
+        for k in keys:
             new[1:] |= k[1:] != k[:-1]
         cut = np.flatnonzero(new)
-        self.parts = [[c[cut] if i < self.n_keys or not len(cut) else (np.minimum if self.names[i][0] == "m" else np.add).reduceat(c, cut) for i, c in enumerate(columns)]]
-        self.held = len(cut)
+        made = [k[cut] for k in keys]
+        for i in range(self.n_keys, len(columns)):
+            c, columns[i] = np.concatenate(columns[i])[order], []
+            made.append((np.minimum if self.names[i][0] == "m" else np.add).reduceat(c, cut) if len(cut) else c)
+        self.parts, self.held = [made], len(cut) * len(made)
 
     def out(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
             self._reduce()
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in self.parts[0]], names=self.names)
         self.parts, self.held = [], 0
+        C.trim()
 
 
 # what is counted
@@ -466,6 +473,7 @@ def with_score(df: DataFrame, lexicon: Lexicon, text: str = "text", name: str =
                     key = np.unique(row[found] * len(names) + at[found])
                     score = np.bincount(key // len(names), weights[key % len(names)], batch.num_rows).astype(float).round(6)
                 yield C.batch_of(batch, n, pa.array(score))
+        C.trim()
 
     return C.with_columns(df, run, f"`{name}` double", {"low": F.lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))})
 
@@ -488,13 +496,16 @@ def threshold(scores: DataFrame, marked: DataFrame) -> float:
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with score and toxic; columns of those names are replaced."""
     docs = docs.drop("score", "toxic")
-    marked, _path = C.written(marked_labels(labels).withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0), "marked")
-    lexicon = induce(docs, marked.filter("NOT held").drop("held"))
-    held = marked.filter("held").drop("held")
-    clean = C.sized(held.filter("label = 0").select("doc_id"))
-    some = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(clean, "doc_id")
-    light, _path = C.written(with_score(some, lexicon).drop("text"), "scores")
-    return with_score(docs, lexicon).withColumn("toxic", F.col("score") >= F.lit(threshold(light, held)))
+    with C.small_batches(docs.sparkSession):
+        marked, _path = C.written(marked_labels(labels).withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0), "marked")
+        lexicon = induce(docs, marked.filter("NOT held").drop("held"))
+        held = marked.filter("held").drop("held")
+        clean = C.sized(held.filter("label = 0").select("doc_id"))
+        some = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(clean, "doc_id")
+        light, _path = C.written(with_score(some, lexicon).drop("text"), "scores")
+        least = threshold(light, held)
+    C.trim()
+    return with_score(docs, lexicon).withColumn("toxic", F.col("score") >= F.lit(least))
 
 
 def op7_toxicity_lexicon(spark, sf_dir: str) -> DataFrame:
