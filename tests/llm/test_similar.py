@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from nodepool.llm import common as C
 from nodepool.llm import buckets, digest, graph, oddsketch, packing
@@ -219,6 +220,34 @@ def test_alike_against_brute_force(spark):
     assert {(r.doc_id, r.like_id) for r in texts.collect()} == {("u-1", "u-0"), ("u-2", "u-0")}
 
 
+def test_a_bucket_of_strangers_sends_no_rows_of_pairs(spark, monkeypatch):
+    """Documents that share a band and little else: digests move once a block, not once a
+    pair, and those that are alike are found, whatever the tiles' size."""
+    docs = [d for d in family(3, 8, 12) if len(d) > 300]
+    rng = random.Random(4)
+    docs += [text_of(rng, 60 * k) for k in (1, 4, 9)]
+    rows = [(i, t) for i, t in enumerate(docs * 2)] + [(900 + i, text_of(rng, 30)) for i in range(120)]
+    made = digest.digest(spark.createDataFrame([(i, t if i < len(docs) else changed(rng, t, 2)) for i, t in rows], "doc_id bigint, text string"))
+    held = [r for r in made.filter("n_features > 0").collect()]
+    same = spark.createDataFrame([(r.doc_id, r.n_features, r.digest, [7]) for r in held], made.schema).cache()  # one bucket for all
+    compared = []
+    plain = digest.with_similarity
+    monkeypatch.setattr(digest, "with_similarity", lambda pairs: (compared.append(pairs.count()), plain(pairs))[1])
+    want = groups_of((a.doc_id, b.doc_id) for a in held for b in held if a.doc_id < b.doc_id and digest.similarity(a.digest, b.digest) >= digest.LIKE)
+    assert len(want) > 10
+    rows = [{"few": k % 3 == 0, "doc_id": r.doc_id, "label": r.doc_id, "value": r.digest} for k, r in enumerate(held)]
+    tile = pa.Table.from_pylist(rows, pa.schema({"few": pa.bool_(), "doc_id": pa.int64(), "label": pa.int64(), "value": pa.list_(pa.binary())}))
+    alike = {(x["doc_id"], y["doc_id"]) for x in rows for y in rows if y["few"] and not x["few"] and digest.similarity(x["value"], y["value"]) >= digest.LIKE}
+    for size in (digest._TILE, 5):
+        monkeypatch.setattr(digest, "_TILE", size)
+        assert set(zip(*(v.to_pylist() for v in digest.alike_within(tile)))) == alike
+    for block in (buckets.BLOCK, 16):
+        monkeypatch.setattr(buckets, "BLOCK", block)
+        compared.clear()
+        assert {r.doc_id: r.like_id for r in digest.alike(same).collect()} == want
+        assert sum(compared) <= len(held)
+
+
 def test_near_copies_at_the_border_of_a_filter():
     h = np.array([int.from_bytes(hashlib.md5(str(i).encode()).digest()[:8], "little") for i in range(400)], np.uint64)
     chain = lambda k: [r.tobytes() for r in digest.filters(h[:k], np.array([0, k]))[0]]
