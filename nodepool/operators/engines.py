@@ -5,7 +5,8 @@ Column. One that writes other tags has for_node(node) -> JSON text of the whole
 node is a dict of Columns (id, pool, content_json, content_text), and terms_of(tags_json)
 -> array Column. An engine has search(queries, nodes, limit, min_score, askers) -> ranked
 rows; one that has index(nodes) as well gives an index that a pool keeps, adds to and takes
-from (add, remove), and search gets it in place of the nodes.
+from (add, remove), and search gets it in place of the nodes; one with sorted_by_term() as
+well is sorted at the second search.
 """
 
 from __future__ import annotations
@@ -54,10 +55,10 @@ class Bm25Engine:
     def search(self, queries, nodes, limit=10, min_score=0.0, askers=None):
         """nodes: (pool, id, terms), or an index of them."""
         held = nodes if isinstance(nodes, bm25.Index) else bm25.build_index(nodes, self.distinct)
-        return bm25.top(bm25.score(queries, held, self.params), limit, min_score, askers)
+        return bm25.best(queries, held, self.params, limit, min_score, askers)
 
     def index(self, nodes: DataFrame) -> bm25.Index:
-        return bm25.build_index(nodes, self.distinct).sorted_by_term()
+        return bm25.build_index(nodes, self.distinct)
 
 
 @dataclass(frozen=True)
