@@ -62,6 +62,8 @@ class Pool:
         #: all nodes that may ask or be linked: a memory puts those of its pools here
         self.known: Callable[[], DataFrame] = lambda: self.nodes
         self._index: Any = None
+        #: the index as the last search read it
+        self._read: Any = None
 
     def _set(self, nodes: DataFrame, added: DataFrame | None = None, gone: DataFrame | None = None) -> None:
         """The pool's new nodes; the index follows by what came and went, where it is kept."""
@@ -83,6 +85,17 @@ class Pool:
             self._index = self.config.engine.index(_terms(self.nodes))
         return self._index
 
+    def _searched(self) -> Any:
+        """What a search goes through. An index is sorted once it is read again: to sort all
+        postings costs more than one search without."""
+        index = self.index
+        if index is None:
+            return _terms(self.nodes)
+        if self._read is index and getattr(index, "by_term", index) is None:
+            self._index = index = index.sorted_by_term()
+        self._read = index
+        return index
+
     def _ids(self, ids: Iterable[str]) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
 
@@ -212,8 +225,7 @@ class Pool:
         askers = queries.select("query_id", "asker_id").filter("asker_id IS NOT NULL")
         if not askers.isEmpty():
             askers = written(askers.join(self.known().select(F.col("id").alias("asker_id")).distinct(), "asker_id", "left_semi").select("query_id", "asker_id"), "askers")
-        own = _terms(self.nodes) if self.index is None else self.index
-        found = written(self.config.engine.search(asked, own, limit, min_score, askers), "ranked").drop("pool")
+        found = written(self.config.engine.search(asked, self._searched(), limit, min_score, askers), "ranked").drop("pool")
         if link and not askers.isEmpty():
             now, graph = self.config.now(), self.config.graph
             touched = askers.select(F.col("asker_id").alias("id")).unionByName(found.join(askers, "query_id", "left_semi").select("id")).distinct()

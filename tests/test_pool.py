@@ -245,3 +245,12 @@ def test_exports():
     import nodepool
 
     assert all(hasattr(nodepool, n) for n in nodepool.__all__) and nodepool.DEFAULTS["bm25"].k1 == 1.2
+
+
+def test_an_index_is_sorted_once_it_is_read_again(spark):
+    pool = Pool(spark, "p")
+    pool.create_many([{"id": f"d{i}", "content": "lamp river" if i % 2 else "stone river"} for i in range(6)])
+    asks = spark.createDataFrame([("q", "lamp stone river")], "query_id string, text string")
+    first = pool.rank_many(asks).orderBy("rank").collect()
+    assert pool.index.by_term is None and len(first) == 6
+    assert pool.rank_many(asks).orderBy("rank").collect() == first and pool.index.by_term is not None
