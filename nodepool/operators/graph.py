@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import numbered
+from ..sources.shared import numbered, parted, written
 
 EDGES = "edge_seq bigint, owner string, direction string, other string, observed_at bigint"
 
@@ -78,6 +78,8 @@ class DecayGraph:
         owners (id) only, where they are given."""
         if owners is None:
             return self.current(log, now)
+        log = written(log, "edges")  # read twice, and counted
+        log = parted(log, log.count(), "owner")
         touched = owners.select(F.col("id").alias("owner")).distinct()
         return log.join(touched, "owner", "left_anti").select(*log.columns).unionByName(self.current(log.join(touched, "owner", "left_semi").select(*log.columns), now))
 

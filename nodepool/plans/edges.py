@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..sources.shared import parted
 from .documents import NODES, table
 from .documents import _pool_of_documents as pool_of_documents
 from . import sql as S
@@ -18,7 +19,8 @@ DECAY = 3 * DAY
 def pairs(spark, sf_dir):
     """Links (edge_seq, from_id, to_id, observed_at): in each hour's events, one user to the next. Links of signups are permanent."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    hour = Window.partitionBy(F.expr("ms div 3600000")).orderBy("ms", "event_id")
+    e = parted(e.withColumn("hour", F.expr("ms div 3600000")), e.count(), "hour")
+    hour = Window.partitionBy("hour").orderBy("ms", "event_id")
     e = e.withColumn("next_id", F.lead("user_id").over(hour)).filter("next_id IS NOT NULL")
     return e.select(F.col("event_id").alias("edge_seq"), F.col("user_id").cast("string").alias("from_id"), F.col("next_id").cast("string").alias("to_id"), F.when(F.col("event_type") != "signup", F.col("ms")).alias("observed_at"))
 

@@ -16,6 +16,9 @@ BROADCAST_ROWS = 500_000
 #: Bytes a core below which a table is spread over all cores by a shuffle.
 SPREAD_BYTES = 32 << 20
 
+#: Rows of a narrow table that a task sorts or joins.
+ROWS_A_TASK = 250_000
+
 _own: dict[str, str] = {}
 
 
@@ -50,6 +53,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
+def parted(df: DataFrame, rows: int, *keys: Column | str) -> DataFrame:
+    """df of so many rows, in parts by keys of some ROWS_A_TASK each, where the session's number
+    of shuffle partitions would make larger ones: what a task sorts doesn't grow with df."""
+    n = -(-rows // ROWS_A_TASK)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def remove(df: DataFrame) -> None:
     """Removes a table that written() made; nothing may read it after."""
     jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession

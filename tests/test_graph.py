@@ -49,3 +49,16 @@ def test_sweep_compacts(spark):
     e = log(spark, ("a", "b", 0), ("a", "b", 10), ("a", "c", 1))
     swept = G.DecayGraph(5).sweep(e, 12)
     assert swept.columns == e.columns and swept.count() == 2 and of(spark, swept, "a", 12, 5) == [("b", "to", 10)]
+
+
+def test_a_sweeps_tasks_do_not_grow_with_the_log(spark, monkeypatch):
+    from nodepool.sources import shared
+
+    e = log(spark, *((f"n{i % 40}", f"m{i % 7}", i) for i in range(200)))
+    owners = spark.createDataFrame([(f"n{i}",) for i in range(0, 40, 2)], "id string")
+    say = lambda df: sorted(map(str, df.collect()))
+    want = say(G.DecayGraph(50).sweep(e, 200, owners))
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 10)
+    swept = G.DecayGraph(50).sweep(e, 200, owners)
+    assert "hashpartitioning(owner" in (plan := swept._jdf.queryExecution().executedPlan().toString()) and ", 40), REPARTITION_BY_NUM" in plan
+    assert say(swept) == want and len(want) > 100
